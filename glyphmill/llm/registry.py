@@ -1,6 +1,6 @@
 """Queries of this folder and the SQL they are checked against."""
 
-from . import decontaminate, packing, quality
+from . import decontaminate, packing, quality, token_files
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op3_quality": quality.op3, "op10_pack": packing.op10}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_token_files": token_files.op2, "op3_quality": quality.op3, "op10_pack": packing.op10}
 ORACLES: dict[str, str] = {}
