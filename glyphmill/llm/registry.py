@@ -1,6 +1,14 @@
 """Queries of this folder and the SQL they are checked against."""
 
-from . import decontaminate, packing, quality, token_files
+from . import chat, decontaminate, packing, quality, sharding, token_files, warc
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_token_files": token_files.op2, "op3_quality": quality.op3, "op10_pack": packing.op10}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
+    "op2_token_files": token_files.op2,
+    "op3_quality": quality.op3,
+    "op4_warc": warc.op4,
+    "op5_shards": sharding.op5,
+    "op8_chat": chat.op8,
+    "op10_pack": packing.op10,
+}
+ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op8_chat": chat.OP8_SQL}
