@@ -1,6 +1,6 @@
 """Queries of this folder and the SQL they are checked against."""
 
-from . import chat, decontaminate, packing, quality, sharding, token_files, warc
+from . import chat, decontaminate, lines, packing, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -8,7 +8,8 @@ QUERIES = {
     "op3_quality": quality.op3,
     "op4_warc": warc.op4,
     "op5_shards": sharding.op5,
+    "op6_lines": lines.op6,
     "op8_chat": chat.op8,
     "op10_pack": packing.op10,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op8_chat": chat.OP8_SQL}
+ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op6_lines": lines.OP6_SQL, "op8_chat": chat.OP8_SQL}
