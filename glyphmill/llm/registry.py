@@ -1,6 +1,6 @@
 """Queries of this folder and the SQL they are checked against."""
 
-from . import chat, decontaminate, lines, packing, quality, sharding, token_files, warc
+from . import chat, decontaminate, lines, neardup, packing, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_warc": warc.op4,
     "op5_shards": sharding.op5,
     "op6_lines": lines.op6,
+    "op7_neardup": neardup.op7,
     "op8_chat": chat.op8,
     "op10_pack": packing.op10,
 }

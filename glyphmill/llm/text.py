@@ -14,7 +14,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 PIECE = 1 << 20
 
 
