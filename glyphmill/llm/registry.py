@@ -1,6 +1,6 @@
 """Queries of this folder and the SQL they are checked against."""
 
-from . import chat, decontaminate, lines, neardup, packing, quality, sharding, token_files, warc
+from . import chat, decontaminate, lines, neardup, packing, quality, scoring, sharding, token_files, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_lines": lines.op6,
     "op7_neardup": neardup.op7,
     "op8_chat": chat.op8,
+    "op9_score": scoring.op9,
     "op10_pack": packing.op10,
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op6_lines": lines.OP6_SQL, "op8_chat": chat.OP8_SQL}
