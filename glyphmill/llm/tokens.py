@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 800_000
 PLAIN = re.compile("[^\t\n\r -~¡-ɏ]")
 #: Where a space before a word belongs to it: chunks of the byte-level kind.
 SPACED = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
@@ -21,6 +22,13 @@ SPACED = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
 _OPEN: dict[str, Encoder] = {}
 
 
+def stem(chunk: str) -> str:
+    """The chunk without a comma or full stop after a plain word: the tokenizers cut there in any case."""
+    if chunk[-1] in ",." and (chunk[1:-1] if chunk[0] == " " else chunk[:-1]).isalpha():
+        return chunk[:-1]
+    return chunk
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,11 +40,11 @@ class Encoder:
         normal = json.dumps(made["normalizer"])
         pre = json.dumps(made["pre_tokenizer"])
         if "Removed" in pre and "\\\\s+" in normal:
-            self.split = str.split
+            self.split, self.fold = str.split, str.lower  # the normaliser lower-cases
         elif made["normalizer"] is None and made["pre_tokenizer"].get("type") == "ByteLevel" and made["pre_tokenizer"].get("use_regex") and not made["pre_tokenizer"].get("add_prefix_space"):
-            self.split = SPACED.findall
+            self.split, self.fold = SPACED.findall, str
         else:
-            self.split = None
+            self.split, self.fold = None, str
         self.cache: dict[str, bytes] = {}
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
@@ -55,11 +63,18 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        new = list({c for chunks in cut for c in chunks if c not in cache})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        new = {c for chunks in cut for c in chunks if c not in cache}
+        folded = {c: self.fold(c) for c in new}
+        stems = {c: stem(f) for c, f in folded.items()}
+        todo = list({x for x in stems.values() if x not in cache} | {x for x in ",." if x not in cache})
+        for k in range(0, len(todo), 20_000):
+            part = todo[k : k + 20_000]
             for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+                cache[c] = array("I", e.ids).tobytes()
+        for c, x in stems.items():
+            if c not in cache:
+                f = folded[c]
+                cache[c] = cache[x] + cache[f[-1]] if len(x) < len(f) else cache[x]
         for (i, _), chunks in zip(plain, cut, strict=True):
             out[i] = b"".join(map(cache.__getitem__, chunks))
         return out

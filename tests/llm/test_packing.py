@@ -8,7 +8,7 @@ from glyphmill.llm import packing as P
 from glyphmill.llm.common import tokenizer_path
 from glyphmill.llm.tokens import encoder
 
-ODD = [None, "", " ", "  a  b ", "\n\n x\n", "tab\t\tx", "don't I'll we've 'S", "a b", "éclair ẞ Straße", "<|endoftext|> x <|startoftext|>", "12 345,6!!", "日本語 テキスト", "x" * 3000, "İstanbul ŉ ǅ", "\r\n\r\n a \r b", "a\x1cb\x0bc", "end  \n  "]
+ODD = ["foo, bar. Foo. x), 3, É. ab.", "İx İ. ŉ, ǅ.", None, "", " ", "  a  b ", "\n\n x\n", "tab\t\tx", "don't I'll we've 'S", "a b", "éclair ẞ Straße", "<|endoftext|> x <|startoftext|>", "12 345,6!!", "日本語 テキスト", "x" * 3000, "İstanbul ŉ ǅ", "\r\n\r\n a \r b", "a\x1cb\x0bc", "end  \n  "]
 
 
 def test_tokens_equal_the_library():
