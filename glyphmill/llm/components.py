@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread_join
-
-
-def star(arcs: DataFrame, name: str) -> DataFrame:
-    """arcs (u, v): each u's neighbours that count; gives edges from each v, and from u, to the least of them and u."""
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    least = settle(least, f"{name}-least")
-    joined = spread_join(arcs, least, "u")
-    both = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return settle(both.where("a <> b").distinct(), name)
+from .common import settle
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for each node with an edge. edges: (a, b) of any comparable type.
 
     Every step keeps the components and shortens the ways to their least nodes; it ends when all edges
-    are stars. A node's neighbours are only ever reduced to their least, never gathered.
+    are stars. A node's neighbours are only ever reduced to their least, never gathered; a hub's edges are
+    joined against a written table, so that the runtime can split them.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     while True:
-        # large star: from each node to its greater neighbours
+        # large star: from each node's greater neighbours to the least of all its neighbours and itself
         arcs = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = settle(arcs.groupBy("u").agg(F.min("v").alias("v0"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "v0").alias("m"), "n"), "components-least")
-        large = spread_join(arcs, least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: each node's smaller neighbours and itself to the least of them
-        new = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), "components")
-        gone = now.join(new, ["a", "b"], "left_anti").limit(1).count()
-        came = new.join(now, ["a", "b"], "left_anti").limit(1).count() if not gone else 1
-        now = new
-        if not gone and not came:
+        least = settle(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        large = settle(arcs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
+        # small star: from each node's smaller neighbours, and itself, to the least of them
+        below = settle(large.groupBy("a").agg(F.min("b").alias("m")), "components-below")
+        small = large.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(below.select("a", F.col("m").alias("b")))
+        now = settle(small.distinct(), "components")
+        roots = now.select(F.col("b").alias("a")).distinct().join(now, "a", "left_semi")
+        parents = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        if roots.unionByName(parents).isEmpty():  # all edges are stars
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -35,7 +35,7 @@ BANDS, ROWS = 20, 3
 M = BANDS * ROWS
 #: 5 * overlap >= 4 * union: a similarity of 0.8 or more.
 NUM, DEN = 4, 5
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Candidates up to this many are sent to all tasks as a list of 16-byte keys; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 U = np.uint64
@@ -177,7 +177,7 @@ def bags_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """a, b: verified links between content keys, enough to connect all that share a bucket and are similar. members: bucket, ck, n."""
+    """node, label: components of content keys under verified links, complete for all that share a bucket and are similar. members: bucket, ck, n."""
     pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("ck").alias("pivot"), F.min_by("n", "ck").alias("pivot_n"))
     pivots = settle(pivots.where("size > 1").withColumnRenamed("size", "n_rows"), "neardup-pivots")
     members = settle(spread_join(members, pivots, "bucket", size="n_rows").where("pivot IS NOT NULL").select("bucket", "ck", "n", "pivot", "pivot_n"), "neardup-members")
@@ -190,29 +190,34 @@ def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     tested = settle(ordered(members.where(long_enough("n", "pivot_n")), "ck", "pivot"), "neardup-pairs")
     found = settle(verified(tested, bag), "neardup-links")
     members = members.select("bucket", "ck", "n")
+    # later turns carry the components so far as stars, next to the new links
+    stars, new = None, found
     for turn in range(PIVOT_ROUNDS):
-        label = settle(components(found), "neardup-labels")
-        degree = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+        label = settle(components(new if stars is None else stars.unionByName(new)), "neardup-labels")
+        stars = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        degree = found.select("a").unionByName(found.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
         known = members.join(label.withColumnRenamed("node", "ck"), "ck", "left").join(degree.withColumnRenamed("a", "ck"), "ck", "left")
         known = settle(known.select("bucket", "ck", "n", F.coalesce("label", "ck").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "neardup-known")
         state = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("degree", "ck", "label", "n")).alias("best"))
         open_ = settle(state.where("l0 <> l1").select("bucket", "n_rows", F.col("best.ck").alias("pivot"), F.col("best.label").alias("pivot_label"), F.col("best.n").alias("pivot_n")), "neardup-open")
         if open_.isEmpty():
-            return found
+            return label
         members = settle(spread_join(known, open_, "bucket", size="n_rows").where("pivot IS NOT NULL"), "neardup-left")
         if turn == PIVOT_ROUNDS - 1:
             break
         more = ordered(members.where("label <> pivot_label").where(long_enough("n", "pivot_n")), "ck", "pivot")
         more = settle(more.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
-        if not more.isEmpty():
-            found, tested = settle(found.unionByName(verified(more, bag)), "neardup-links"), tested.unionByName(more)
+        new = settle(verified(more, bag), "neardup-links")
+        if new.isEmpty():
+            break
+        found, tested = found.unionByName(new), tested.unionByName(more)
         members = members.select("bucket", "ck", "n")
     # what is left: pairs across components inside a bucket
     x = members.select("bucket", F.col("ck").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = members.select("bucket", F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = x.join(y, "bucket").where("la <> lb AND a < b").where(long_enough("na", "nb")).select("a", "b").distinct()
-    rest = settle(rest.join(tested, ["a", "b"], "left_anti"), "neardup-rest")
-    return found if rest.isEmpty() else settle(found.unionByName(verified(rest, bag)), "neardup-links")
+    new = settle(verified(rest.join(tested, ["a", "b"], "left_anti"), bag), "neardup-rest")
+    return label if new.isEmpty() else components(stars.unionByName(new))
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -221,7 +226,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tupl
     signed = annotate(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", lambda t, _: sign(t), SIGNED, ["id"], name=name)
     signed = settle(signed.select("id", f"{name}.ck", f"{name}.n", f"{name}.bands"), "neardup-signed")
     members = signed.select(F.explode("bands").alias("bucket"), "ck", "n").distinct()
-    label = settle(components(links(members, docs, text)), "neardup-labels")
+    label = links(members, docs, text)
     keys = signed.where("ck IS NOT NULL").groupBy("ck").agg(F.count(F.lit(1)).alias("n_same"), F.min("id").alias("least"))
     keys = settle(keys.join(label.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "n_same", "least", F.coalesce("label", "ck").alias("class_key")), "neardup-keys")
     groups = settle(keys.groupBy("class_key").agg(F.sum("n_same").alias("n_docs"), F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-classes")
