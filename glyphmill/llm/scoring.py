@@ -339,7 +339,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     scored = vocabulary.mapInArrow(run, "word binary, c long, s double")
     seen = F.log10((F.col("c") - discount) / max(n, 1) + fresh * F.pow(F.lit(10.0), "s"))
     scored = scored.withColumn("s", F.when(F.col("c") > 0, seen).otherwise(F.col("s") + float(np.log10(fresh))))
-    write_tables(chunks.select("chunk", "word").distinct().join(scored, "word").select("chunk", "word", "c", "s"), folder)
+    write_tables(chunks.select("chunk", "word").join(scored, "word").select("chunk", "word", "c", "s"), folder)
     floor = float(np.log10(n + v + 1))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "bytes")], *[T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]])
 
