@@ -17,16 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     while True:
+        # all edges are stars once no node is both a child and a root, or a child twice
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if not ends.agg(F.count_if(F.col("up") + F.col("root") > 1)).first()[0]:
+            break
         # large star: from each node's greater neighbours to the least of all its neighbours and itself
         arcs = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = settle(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
-        large = settle(arcs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "components-large")
+        large = settle(arcs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b"), "components-large")
         # small star: from each node's smaller neighbours, and itself, to the least of them
         below = settle(large.groupBy("a").agg(F.min("b").alias("m")), "components-below")
         small = large.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(below.select("a", F.col("m").alias("b")))
         now = settle(small.distinct(), "components")
-        roots = now.select(F.col("b").alias("a")).distinct().join(now, "a", "left_semi")
-        parents = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-        if roots.unionByName(parents).isEmpty():  # all edges are stars
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -178,8 +178,11 @@ def bags_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """node, label: components of content keys under verified links, complete for all that share a bucket and are similar. members: bucket, ck, n."""
-    pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("ck").alias("pivot"), F.min_by("n", "ck").alias("pivot_n"))
-    pivots = settle(pivots.where("size > 1").withColumnRenamed("size", "n_rows"), "neardup-pivots")
+    sets = [F.bit_xor(F.xxhash64("ck", F.lit(k))).alias(f"set{k}") for k in (0, 1)]
+    pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ck").alias("pivot"), F.min_by("n", "ck").alias("pivot_n"), *sets)
+    # of buckets with the same members (by two 64-bit hashes of the set) one is enough
+    pivots = pivots.where("n_rows > 1").groupBy("n_rows", "pivot", "pivot_n", "set0", "set1").agg(F.min("bucket").alias("bucket"))
+    pivots = settle(pivots.select("bucket", "n_rows", "pivot", "pivot_n"), "neardup-pivots")
     members = settle(spread_join(members, pivots, "bucket", size="n_rows").where("pivot IS NOT NULL").select("bucket", "ck", "n", "pivot", "pivot_n"), "neardup-members")
     bag = bags_of(docs, text, members.select("ck").distinct())
     long_enough = lambda x, y: (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
@@ -195,8 +198,9 @@ def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     for turn in range(PIVOT_ROUNDS):
         label = settle(components(new if stars is None else stars.unionByName(new)), "neardup-labels")
         stars = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        degree = found.select("a").unionByName(found.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-        known = members.join(label.withColumnRenamed("node", "ck"), "ck", "left").join(degree.withColumnRenamed("a", "ck"), "ck", "left")
+        ends = found.select(F.explode(F.array("a", "b")).alias("ck"), F.lit(None).cast("binary").alias("label"), F.lit(1).alias("link"))
+        info = label.select(F.col("node").alias("ck"), "label", F.lit(0).alias("link")).unionByName(ends)
+        known = members.join(info.groupBy("ck").agg(F.max("label").alias("label"), F.sum("link").alias("degree")), "ck", "left")
         known = settle(known.select("bucket", "ck", "n", F.coalesce("label", "ck").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "neardup-known")
         state = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("degree", "ck", "label", "n")).alias("best"))
         open_ = settle(state.where("l0 <> l1").select("bucket", "n_rows", F.col("best.ck").alias("pivot"), F.col("best.label").alias("pivot_label"), F.col("best.n").alias("pivot_n")), "neardup-open")
@@ -225,10 +229,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tupl
     name = "signed"
     signed = annotate(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", lambda t, _: sign(t), SIGNED, ["id"], name=name)
     signed = settle(signed.select("id", f"{name}.ck", f"{name}.n", f"{name}.bands"), "neardup-signed")
-    members = signed.select(F.explode("bands").alias("bucket"), "ck", "n").distinct()
-    label = links(members, docs, text)
-    keys = signed.where("ck IS NOT NULL").groupBy("ck").agg(F.count(F.lit(1)).alias("n_same"), F.min("id").alias("least"))
-    keys = settle(keys.join(label.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "n_same", "least", F.coalesce("label", "ck").alias("class_key")), "neardup-keys")
+    # equal keys have equal bands and lengths
+    keys = signed.where("ck IS NOT NULL").groupBy("ck").agg(F.count(F.lit(1)).alias("n_same"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    keys = settle(keys, "neardup-distinct")
+    label = links(keys.select(F.explode(F.array_distinct("bands")).alias("bucket"), "ck", "n"), docs, text)
+    keys = settle(keys.select("ck", "n_same", "least").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "n_same", "least", F.coalesce("label", "ck").alias("class_key")), "neardup-keys")
     groups = settle(keys.groupBy("class_key").agg(F.sum("n_same").alias("n_docs"), F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-classes")
     whole = spread_join(keys, groups, "class_key").select("ck", "n_same", "n_docs", "class_id", "class_key")
     whole = settle(whole.withColumnRenamed("n_same", "n_copies"), "neardup-of")
