@@ -9,7 +9,8 @@ BANDS bands of ROWS components make candidates; every pair that counts is verifi
 themselves. Exact copies (equal multisets) are one representative from the start. In a bucket each member is
 compared with a pivot only, at first the least, then the best connected; members already in one component need no
 comparison. What is still unconnected in a bucket after PIVOT_ROUNDS is compared pair by pair, across components
-only, so that no link between different texts that share a bucket is lost.
+only, so that no link between different texts that share a bucket is lost. Buckets of more than PAIR_ROWS are then cut
+to blocks, a file each; a task reads two blocks, counts all overlaps at once, and gives the links of a spanning forest.
 
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of fewer than five words
 has one shingle of all its words; a text of none is alone in its class; null ids count as greatest; rows with equal ids
@@ -19,14 +20,17 @@ and texts are in one class; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, free_name, settle, spread_join
+from . import files
+from .common import annotate, free_name, settle, spread_join, work_dir
 from .components import components
 from .text import ALNUM, mix, words
 
@@ -36,6 +40,10 @@ M = BANDS * ROWS
 #: 5 * overlap >= 4 * union: a similarity of 0.8 or more.
 NUM, DEN = 4, 5
 PIVOT_ROUNDS = 2
+#: Buckets up to this size are compared by rows of pairs, larger ones by blocks of about BLOCK_ROWS members.
+PAIR_ROWS, BLOCK_ROWS = 48, 256
+#: Distinct elements that are held at a time as a dense matrix.
+COLUMNS = 8192
 #: Candidates up to this many are sent to all tasks as a list of 16-byte keys; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 U = np.uint64
@@ -167,6 +175,98 @@ def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return x.select("a", "b", "bag_a", "bag_b").mapInPandas(run, "a binary, b binary")
 
 
+def elements(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: the k-th occurrence of a hash is an element of its own."""
+    if not len(bag):
+        return bag
+    new = np.concatenate([[True], bag[1:] != bag[:-1]])
+    at = np.arange(len(bag))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(bag + nth.astype(U) * U(0x9E3779B97F4A7C15)), bag)
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a multiset of x with one of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    sides = []
+    for bags_ in (x, y):
+        flat = np.concatenate([elements(b) for b in bags_])
+        sides.append((flat, np.repeat(np.arange(len(bags_)), [len(b) for b in bags_])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    for k in range(0, len(shared), COLUMNS):
+        part, dense = shared[k : k + COLUMNS], []
+        for (flat, row), n in zip(sides, out.shape, strict=True):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def block_links(x: pa.Table, y: pa.Table) -> list[tuple[bytes, bytes]]:
+    """Links between members with different labels, as many as connect the same labels."""
+    place: dict = {}
+    la, lb = (np.array([place.setdefault(v, len(place)) for v in t.column("label").to_pylist()]) for t in (x, y))
+    if len(place) < 2:
+        return []
+    one, two = ([unpacked(b) for b in t.column("bag").to_pylist()] for t in (x, y))
+    k = overlaps(one, two)
+    size = np.array([len(b) for b in one])[:, None] + np.array([len(b) for b in two])[None, :]
+    i, j = np.nonzero((DEN * k >= NUM * (size - k)) & (la[:, None] != lb[None, :]))
+    _, first = np.unique(la[i] * len(place) + lb[j], return_index=True)
+    up = list(range(len(place)))
+
+    def top(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    a, b, out = x.column("ck").to_pylist(), y.column("ck").to_pylist(), []
+    for p, q in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        u, v = top(la[p]), top(lb[q])
+        if u != v:
+            up[u] = v
+            out.append((min(a[p], b[q]), max(a[p], b[q])))
+    return out
+
+
+def block_rest(members: DataFrame, bag: DataFrame) -> DataFrame:
+    """Links (a, b) across labels inside large buckets. members: bucket, ck, label, n_rows. Each block is written once."""
+    folder = work_dir(members.sparkSession, "neardup-blocks")
+    n_blocks = F.ceil(F.col("n_rows") / BLOCK_ROWS)
+    rows = members.select("bucket", "ck", "label", n_blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("ck"), n_blocks).cast("int").alias("block")).join(bag, "ck")
+
+    def keep(key, table):
+        bucket, block, blocks = (k.as_py() for k in key)
+        name = f"{bucket}-{block}-{uuid.uuid4().hex[:8]}.arrow"  # a retried task writes another file
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_file(out, table.select(["ck", "label", "bag"]).schema) as f:
+            f.write_table(table.select(["ck", "label", "bag"]))
+        files.put(folder, name, out.getvalue().to_pybytes())
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "block": pa.array([block], pa.int32()), "blocks": pa.array([blocks], pa.int32()), "file": pa.array([name])})
+
+    kept = settle(rows.groupBy("bucket", "block", "blocks").applyInArrow(keep, "bucket long, block int, blocks int, file string"), "neardup-blocks-kept")
+    todo = kept.select("bucket", F.col("file").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    # a block that got no member has no file
+    todo = todo.join(kept.select("bucket", F.col("block").alias("j"), F.col("file").alias("y")), ["bucket", "j"]).select("x", "y").repartition("x", "y")
+
+    def load(name: str) -> pa.Table:
+        return pa.ipc.open_file(pa.BufferReader(files.read(folder, name))).read_all()
+
+    def run(batches):
+        for batch in batches:
+            for one, two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x = load(one)
+                found = block_links(x, x if one == two else load(two))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return todo.mapInArrow(run, "a binary, b binary")
+
+
 def bags_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """One multiset for each wanted content key, from a second pass over the texts."""
     key = free_name("bag", [])
@@ -217,10 +317,14 @@ def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         found, tested = found.unionByName(new), tested.unionByName(more)
         members = members.select("bucket", "ck", "n")
     # what is left: pairs across components inside a bucket
+    large, members = members.where(F.col("n_rows") > PAIR_ROWS), members.where(F.col("n_rows") <= PAIR_ROWS)
     x = members.select("bucket", F.col("ck").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = members.select("bucket", F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = x.join(y, "bucket").where("la <> lb AND a < b").where(long_enough("na", "nb")).select("a", "b").distinct()
-    new = settle(verified(rest.join(tested, ["a", "b"], "left_anti"), bag), "neardup-rest")
+    new = verified(rest.join(tested, ["a", "b"], "left_anti"), bag)
+    if not large.isEmpty():
+        new = new.unionByName(block_rest(large, bag))
+    new = settle(new, "neardup-rest")
     return label if new.isEmpty() else components(stars.unionByName(new))
 
 

@@ -56,6 +56,22 @@ def test_classes_equal_brute_force(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(sizes)
 
 
+def test_blocks_find_what_pairs_do(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{j}" for j in range(120)]
+    texts = [" ".join(f"v{rng.randrange(10**6)}" if rng.random() < 0.012 * (k % 4) else w for w in base) for k in range(70)]
+    texts += ["la la la " * k for k in (20, 21, 22, 40)]
+    bag = [np.sort(h) for h in np.split(*(lambda h, cut: (h, cut[1:-1]))(*N.shingles([t.encode() for t in texts])))]
+    k = N.overlaps(bag[:40], bag[30:])
+    assert all(k[i, j] == N.overlap(bag[i], bag[30 + j]) for i in range(40) for j in range(len(bag) - 30))
+    monkeypatch.setattr(N, "PAIR_ROWS", 1)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(N, "PIVOT_ROUNDS", 1)
+    rows = list(enumerate(texts))
+    got, _ = N.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == N.brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 300)] + [(rng.randrange(400, 440), rng.randrange(400, 440)) for _ in range(30)]
