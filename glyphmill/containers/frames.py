@@ -70,3 +70,14 @@ def repack(df: DataFrame, changes: DataFrame, key: str, content: str = "content"
     has: Column = F.col("__edits").isNotNull()
     both = both.withColumn("__new", F.when(has, run(F.when(has, F.col(content)), "__edits")))
     return both.select(*[F.coalesce("__new.data", content).alias(content) if c == content else F.col(c) for c in df.columns], F.col("__new.error").alias("error"))
+
+
+def pack_group(path: Column) -> Column:
+    """The name that sibling packs share: the first type word of the file's stem removed, `pack` where nothing is left.
+
+    Members of sibling packs with the same ordinal belong together: join on the group and the ordinal.
+    """
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[^.]*$", "")
+    shared = F.regexp_replace(stem, f"(?i)^(.*?)({'|'.join(A.PACK_TYPES)})", "$1")
+    return F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), F.when(shared == "", "pack").otherwise(shared))

@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.codecs import bios
 from glyphmill.containers import archives as A
@@ -126,6 +127,12 @@ def test_members_and_repack(spark):
     assert out["null"].content is None and len(out) == len(rows)
 
 
+def test_pack_group(spark):
+    paths = {"data/ncgpack.dat": "data/pack", "NCLR.bin": "pack", "a/b/xNscrNcg.z": "a/b/xNcg", "a/plain.dat": "a/plain", "ncg/file": "ncg/file"}
+    df = spark.createDataFrame([(k,) for k in paths], "p string")
+    assert {r.p: r.g for r in df.select("p", frames.pack_group(F.col("p")).alias("g")).collect()} == paths
+
+
 def image():
     table = fnt(b"x.bin")
     d = bytearray(b"\xff" * 0x4000)
