@@ -1,4 +1,4 @@
-"""Console BIOS codecs: LZ (types 0x10, 0x11), run lengths (0x30), differences (0x81, 0x82).
+"""Console BIOS codecs: LZ (types 0x10, 0x11), Huffman codes (0x24, 0x28; read only), run lengths (0x30), differences (0x81, 0x82).
 
 Each stream begins with a type byte and the decoded size in 24 bits, or, if that is 0, in the next 32. Plain
 functions of bytes; damaged input raises CodecError.
@@ -179,6 +179,40 @@ def diff_encode(data: bytes, kind: int = 0x81) -> bytes:
     return head(kind, len(data)) + np.diff(np.frombuffer(data, unit), prepend=unit.type(0)).astype(unit).tobytes()
 
 
+def huff_decode(data: bytes) -> tuple[bytes, int]:
+    """Huffman codes of 4 (0x24, low half first) or 8 bits (0x28): a tree, then words of 32 bits, highest bit first.
+
+    A node holds the distance to its pair of children and, in its two top bits, whether each is a leaf.
+    """
+    kind, size, at = header(data, (0x24, 0x28))
+    if at >= len(data):
+        raise CodecError("cut stream")
+    tree = data[at : at + 2 * (data[at] + 1)]
+    at += len(tree)
+    need, found, node = size * (2 if kind == 0x24 else 1), bytearray(), 1
+    while len(found) < need:
+        if at + 4 > len(data):
+            raise CodecError("cut stream")
+        for bit in f"{int.from_bytes(data[at : at + 4], 'little'):032b}":
+            right = bit == "1"
+            try:
+                leaf = tree[node] & (0x40 if right else 0x80)
+                node = (node & ~1) + 2 * (tree[node] & 63) + 2 + right
+                if leaf:
+                    found.append(tree[node])
+                    node = 1
+            except IndexError:
+                raise CodecError("outside the tree") from None
+            if len(found) == need:
+                break
+        at += 4
+    if kind == 0x28:
+        return bytes(found), at
+    if max(found, default=0) > 15:
+        raise CodecError("no half byte")
+    return bytes(a | b << 4 for a, b in zip(found[::2], found[1::2], strict=True)), at
+
+
 #: name -> (first byte, decode, encode)
 CODECS = {
     "lz10": (0x10, lz_decode, lambda d: lz_encode(d, 0x10)),
@@ -187,6 +221,8 @@ CODECS = {
     "diff8": (0x81, diff_decode, lambda d: diff_encode(d, 0x81)),
     "diff16": (0x82, diff_decode, lambda d: diff_encode(d, 0x82)),
 }
+#: name -> (first byte, decode): also those that are only read
+READERS = {name: c[:2] for name, c in CODECS.items()} | {"huff4": (0x24, huff_decode), "huff8": (0x28, huff_decode)}
 
 
 def decoded(df, content: str = "content"):
@@ -195,7 +231,7 @@ def decoded(df, content: str = "content"):
 
     first = F.substring(F.col(content), 1, 1)
     codec = None
-    for name, (byte, *_) in CODECS.items():
+    for name, (byte, _) in READERS.items():
         test = first == F.lit(bytes([byte]))
         codec = F.when(test, name) if codec is None else codec.when(test, name)
 
@@ -203,7 +239,7 @@ def decoded(df, content: str = "content"):
     def run(name: pd.Series, data: pd.Series) -> pd.Series:
         def one(n, d):
             try:
-                return CODECS[n][1](bytes(d))[0] if n else None
+                return READERS[n][1](bytes(d))[0] if n else None
             except CodecError:
                 return None
 

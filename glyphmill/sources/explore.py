@@ -20,7 +20,7 @@ ITEMS = "path string, item string, loc array<string>, kind string, size bigint,
 
 def unwrap(data: bytes) -> tuple[bytes, str | None]:
     """The payload and its codec, or the data itself: the size must be right, and what follows an LZ10 stream padding."""
-    for name, (first, decode, _) in bios.CODECS.items():
+    for name, (first, decode) in bios.READERS.items():
         if data[:1] != bytes([first]):
             continue
         try:
