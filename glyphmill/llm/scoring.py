@@ -1,25 +1,30 @@
-"""LM scoring by online logistic context mixing over the bits of tokens.
-
-A token is its bytes and a closing space; the end of a text is the empty token. Each bit is predicted by
-hashed contexts of the bytes before it in the token (orders 1 to 4 and the whole prefix). Their
-log-odds are mixed by weights that a gate selects from the bit's place and the higher orders' confidence; the
-result is refined by an adaptive probability map over the byte before. A token's own count, less the discount that
-the counts of counts give, is the dictionary's share; the rest is the bit model's. Everything is learnt from the training documents
-alone: the tables from counts of all training tokens, weights and map by one online pass over the
-distinct training tokens, each predicted as if one of its occurrences were not in the tables.
-
-A token's probability does not depend on its neighbours, so that it is computed once for each distinct token of
-the corpus. Texts stay where they are: they are cut to chunks of CHUNK_ROWS rows; each chunk's
-distinct tokens are joined with the corpus's, and their counts and scores come back as one file a chunk in the shared
-folder, which the last pass over the texts looks its tokens up in.
-
-Fixed sizes: the tables (TABLE_BITS), weights and map, whatever the input; these alone are collected and broadcast.
+"""LM scoring by online logistic context mixing over the bits of tokens, along the words of a text.
+
+The end of a text is the empty token; a text's first token follows an end. A token is decided bit by bit. The first
+decision is whether the training documents have the token. A known token's further bits are those of its 64-bit code
+(a hash of its bytes), without the bits that all known tokens with the same earlier bits share. Each
+decision is predicted by the counts of all training tokens (order 0) and by those that follow the same token (order
+1), and by order 1 smoothed with order 0; their log-odds are mixed by weights that a gate selects from the counts. An
+unknown token's bytes and a closing space are spelled by a second mix, of hashed contexts of the bytes before them in
+the token (orders 1 to 4 and the whole prefix), refined by an adaptive probability map.
+
+The counts of both orders are exact, kept as rows and never collected: distinct tokens and distinct pairs of tokens,
+with what their decisions need computed in runs of sorted codes. Weights are learnt online from all pairs of the
+training documents, each predicted as if one of its occurrences had not been counted; tasks see whole groups of pairs,
+in steps of STEP_DECISIONS, and their weights are averaged.
+
+Texts stay where they are: they are cut to chunks of CHUNK_ROWS rows; each chunk's distinct pairs get their scores in
+one file a chunk in the shared folder, which the last pass over the texts looks its pairs up in.
+
+Fixed sizes: the spelling's tables (TABLE_BITS), weights and map, and the counts of the codes' TOP_BITS; these alone
+are collected and broadcast. A task holds the pairs of one first token at a time.
 Defined cases: a null or empty text is its end token; documents with a null id are training documents; repeated
 rows count and are scored each; with no training document every count is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 from collections import Counter
@@ -47,6 +52,12 @@ BUCKETS = 24
 TRAIN_TOKENS_PER_TASK = 400_000
 STEP_TOKENS = 8192
 RATE = 0.03
+GROUP_BITS = 8
+TOP_BITS = 16
+BLOCK_ROWS = 1 << 15
+STEP_DECISIONS = 4096
+WORD_INPUTS = 4
+WORD_GATES = 8 * 2 * 6 * 2
 U = np.uint64
 SPACE = 0x20
 
@@ -182,6 +193,147 @@ class Model:
             out[at : at + STEP_TOKENS] = np.bincount(token, total, len(out[at : at + STEP_TOKENS]))
         return out
 
+# --- decisions on known tokens -------------------------------------------------------------
+
+
+def code_of(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+def pair_key(prev: np.ndarray, code: np.ndarray) -> np.ndarray:
+    x = prev.view(U) * U(0x9E3779B97F4A7C15)
+    return (x ^ x >> U(29)) * U(0xBF58476D1CE4E5B9) + code.view(U)
+
+
+def shared_bits(code: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """How many leading bits each code shares with the one before it; -1 where a group begins."""
+    x = code[1:] ^ code[:-1]
+    hi, lo = (x >> U(32)).astype(np.float64), (x & U(0xFFFFFFFF)).astype(np.float64)
+    lead = np.full(len(code), -1)
+    lead[1:] = np.where(hi > 0, 32 - np.frexp(hi)[1], 64 - np.frexp(lo)[1])
+    lead[new] = -1
+    return lead
+
+
+def run_counts(lead: np.ndarray, code: np.ndarray, c: np.ndarray, d: int):
+    """Counts below each row's node at depth d, with bit 0 and bit 1."""
+    run = np.cumsum(lead < d) - 1
+    ones = np.bincount(run, c * (code >> U(63 - d) & U(1)))
+    return (np.bincount(run, c) - ones)[run], ones[run]
+
+
+def pack(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(7 * np.log2(n + 1.0))).astype(np.uint8)
+
+
+UNPACK = 2.0 ** (np.arange(256) / 7) - 1
+
+
+def paths(code: np.ndarray, c: np.ndarray):
+    """Of all known tokens that share GROUP_BITS, sorted by code: the depths from TOP_BITS on where their nodes branch, and the counts there."""
+    lead = shared_bits(code, np.array([0]))
+    mask, parts, rows = np.zeros(len(code), U), [], []
+    for d in range(TOP_BITS, 64):
+        if lead.max() < d:
+            break
+        n0, n1 = run_counts(lead, code, c, d)
+        at = np.flatnonzero((n0 > 0) & (n1 > 0))
+        mask[at] |= U(1) << U(63 - d)
+        rows.append(at)
+        parts.append(np.stack([pack(n0[at]), pack(n1[at])], 1))
+    if not rows:
+        return mask, [b""] * len(code)
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    flat, size = np.concatenate(parts)[order], np.bincount(np.concatenate(rows), minlength=len(code))
+    return mask, [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
+
+
+def top_counts(code: np.ndarray, top: np.ndarray, d: int):
+    """Counts of all training tokens below the codes' nodes at a depth under TOP_BITS. top: sums of the counts by TOP_BITS, from 0."""
+    half = 1 << (TOP_BITS - 1 - d)
+    lo = (code >> U(64 - TOP_BITS)).astype(np.int64) // (2 * half) * 2 * half
+    return top[lo + half] - top[lo], top[lo + 2 * half] - top[lo + half]
+
+
+def decisions(prev, code, c, known, mask, path: list[bytes], top: np.ndarray, fresh: tuple[int, int], leave_one_out: bool):
+    """rows, depth, bit and the counts of both orders for each decision on pairs sorted by (prev, code).
+
+    c: the pairs' counts in training documents, known: their second tokens'; fresh: training tokens that occur
+    more than once, and once. A token that occurs once is unknown when one occurrence is left out.
+    """
+    code = code.view(U)
+    new = np.concatenate([[True], prev[1:] != prev[:-1]]) if len(prev) else np.zeros(0, bool)
+    lead = shared_bits(code, np.flatnonzero(new))
+    group = np.cumsum(new) - 1
+    unknown = known <= 1 if leave_one_out else known == 0
+    once = np.bincount(group, c * (known == 1))[group]
+    counts = [np.full(len(code), float(fresh[0])), np.full(len(code), float(fresh[1])), np.bincount(group, c)[group] - once, once]
+
+    def cut(rows, bit, counts):
+        if leave_one_out:
+            for i, n in enumerate(counts):
+                counts[i] = np.maximum(n - (bit == i % 2), 0)
+        return rows, bit, counts
+
+    rows = np.flatnonzero(c > 0) if leave_one_out else np.arange(len(code))
+    yield -1, *cut(rows, unknown[rows].astype(float), [n[rows] for n in counts])
+    flat = np.frombuffer(b"".join(path), np.uint8)
+    at = np.cumsum([0, *map(len, path)])[:-1]
+    use = ~unknown & (c > 0) if leave_one_out else ~unknown
+    for d in range(64):
+        if d < TOP_BITS:
+            n0, n1 = top_counts(code, top, d)
+            has = (n0 > 0) & (n1 > 0)
+        else:
+            has = (mask.view(U) >> U(63 - d) & U(1)).astype(bool)
+        rows = np.flatnonzero(has & use)
+        if len(rows):
+            b0, b1 = run_counts(lead, code, c, d)
+            a0, a1 = (n0[rows], n1[rows]) if d < TOP_BITS else (UNPACK[flat[at[rows]]], UNPACK[flat[at[rows] + 1]])
+            yield d, *cut(rows, (code[rows] >> U(63 - d) & U(1)).astype(float), [a0, a1, b0[rows], b1[rows]])
+        if d >= TOP_BITS:
+            at = at + 2 * has
+
+
+class Words:
+    """Gated weights of the decisions on known tokens."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = np.tile([0.0, 0.0, 1.0, 0.0], (WORD_GATES, 1)) if weights is None else weights
+
+    def mixed(self, depth: int, counts):
+        a0, a1, b0, b1 = counts
+        share = (a1 + 0.05) / (a0 + a1 + 0.1)
+        both = b0 + b1
+        x = np.stack([np.log(share / (1 - share)), np.log((b1 + 0.05) / (b0 + 0.05)), np.log((b1 + 2 * share) / (b0 + 2 * (1 - share))), np.full(len(a0), 0.3)])
+        size = np.minimum(7, np.ceil(np.log2(both + 1))).astype(np.int64)
+        wide = np.minimum(5, np.log2(a0 + a1 + 1) // 3).astype(np.int64)
+        gate = ((size * 2 + ((b0 > 0) & (b1 > 0))) * 6 + wide) * 2 + (depth < 0)
+        return x, gate, 1 / (1 + np.exp(-np.clip(np.einsum("ki,ik->i", x, self.weights[gate]), -20, 20)))
+
+    def learn(self, weight: np.ndarray, found) -> int:
+        """Online: decisions in steps, the weights moved after each. Returns how many it has learnt from."""
+        learnt = 0
+        for depth, rows, bit, counts in found:
+            for k in range(0, len(rows), STEP_DECISIONS):
+                cut = slice(k, k + STEP_DECISIONS)
+                x, gate, p = self.mixed(depth, [n[cut] for n in counts])
+                each = weight[rows[cut]].astype(np.float64)
+                err = (bit[cut] - p) * each
+                total = np.maximum(np.bincount(gate, each, WORD_GATES), 1)
+                for i in range(WORD_INPUTS):
+                    self.weights[:, i] += RATE * np.bincount(gate, err * x[i], WORD_GATES) / total
+                learnt += len(each)
+        return learnt
+
+    def score(self, size: int, found) -> np.ndarray:
+        """log10 of each pair's decisions."""
+        out = np.zeros(size)
+        for depth, rows, bit, counts in found:
+            _, _, p = self.mixed(depth, counts)
+            out[rows] += np.log10(np.where(bit == 1, p, 1 - p))
+        return out
+
 
 # --- over the corpus -----------------------------------------------------------------------
 
@@ -281,8 +433,117 @@ def weights(vocabulary: DataFrame, tasks: int, table) -> tuple[np.ndarray, np.nd
     return w.reshape(GATES, INPUTS), flat[n:-1].reshape(-1, 2)
 
 
+def pair_counts(base: DataFrame) -> DataFrame:
+    """chunk, prev, code, c: each chunk's distinct pairs of following tokens with their count in its training documents."""
+
+    def run(batches):
+        train: list = []
+        held: list = []
+        now, codes = None, {}
+
+        def flush():
+            key, c = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+            for part, one in ((train, 1), (held, 0)):
+                if part:
+                    key, c = np.concatenate([key, *part]), np.concatenate([c, np.full(sum(map(len, part)), one)])
+            order = np.lexsort((key[:, 1], key[:, 0]))
+            key, c = key[order], c[order]
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            key, c = key[start], np.add.reduceat(c, start)
+            for k in range(0, len(c), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c[part]), now)), *(pa.array(np.ascontiguousarray(x[part])) for x in (key[:, 0], key[:, 1], c))], names=["chunk", "prev", "code", "c"])
+            train.clear()
+            held.clear()
+            codes.clear()
+
+        for batch in batches:
+            for piece in steps(batch, "text"):
+                rows = zip(piece.column("chunk").to_pylist(), piece.column("held_out").to_pylist(), tokens_of(piece.column("text").cast(pa.binary()).to_pylist()), strict=True)
+                for chunk, held_out, words in rows:
+                    if chunk != now and now is not None:
+                        yield from flush()
+                    now = chunk
+                    (held if held_out else train).append(pairs_of(words, codes))
+        if now is not None:
+            yield from flush()
+
+    return base.mapInArrow(run, "chunk long, prev long, code long, c long")
+
+
+def pairs_of(words: list[bytes], codes: dict) -> np.ndarray:
+    """Codes of the tokens before and of the tokens, the end included; codes holds those already made."""
+    for w in (b"", *words):
+        if w not in codes:
+            codes[w] = code_of(w)
+    line = np.array([codes[b""], *map(codes.__getitem__, words), codes[b""]], np.int64)
+    return np.stack([line[:-1], line[1:]], 1)
+
+
+def blocks(batches):
+    """Record batches sorted by prev, as tables of whole groups of at least BLOCK_ROWS rows but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BLOCK_ROWS:
+            prev = batch.column("prev").to_numpy()
+            ends = np.flatnonzero(prev[1:] != prev[:-1])
+            whole = len(held) > 1 and held[-2].column("prev")[-1].as_py() != prev[0]
+            if len(ends) or whole:
+                at = int(ends[-1]) + 1 if len(ends) else 0
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
+                held, size = [batch.slice(at)], batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def distinct(block: pa.Table):
+    """Which distinct pair each row is, and prev, code, c, known, mask and path of the distinct pairs."""
+    prev, code = block.column("prev").to_numpy(), block.column("code").to_numpy()
+    start = np.concatenate([[True], (prev[1:] != prev[:-1]) | (code[1:] != code[:-1])])
+    at = np.flatnonzero(start)
+    c = np.add.reduceat(block.column("c").to_numpy(), at).astype(np.float64)
+    first = block.select(["known", "mask", "path"]).take(pa.array(at))
+    return np.cumsum(start) - 1, at, (prev[at], code[at], c, first.column("known").to_numpy(), first.column("mask").to_numpy(), first.column("path").to_pylist())
+
+
+def word_weights(pairs: DataFrame, top, fresh: tuple[int, int]) -> np.ndarray:
+    """The tasks' learnt weights, averaged by how much each has learnt from: a fixed number of values."""
+
+    def run(batches):
+        model, learnt = Words(), 0
+        for block in blocks(batches):
+            _, _, got = distinct(block)
+            learnt += model.learn(got[2], decisions(*got, top.value, fresh, True))
+        if learnt:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(model.weights.size + 1)), pa.array(np.concatenate([model.weights.ravel() * learnt, [learnt]]))], names=["i", "v"])
+
+    flat = np.zeros(WORD_GATES * WORD_INPUTS + 1)
+    for i, v in pairs.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        flat[i] = v
+    return (flat[:-1] / flat[-1]).reshape(WORD_GATES, WORD_INPUTS) if flat[-1] else Words().weights
+
+
+def score_pairs(pairs: DataFrame, model, top, fresh: tuple[int, int]) -> DataFrame:
+    """chunk, key, known, s of every chunk's pairs."""
+
+    def run(batches):
+        words = Words(model.value)
+        for block in blocks(batches):
+            which, at, got = distinct(block)
+            s = words.score(len(at), decisions(*got, top.value, fresh, False))[which] + block.column("s").to_numpy()
+            key = pair_key(got[0], got[1])[which].view(np.int64)
+            done = pa.Table.from_arrays([block.column("chunk"), pa.array(key), block.column("known"), pa.array(s)], names=["chunk", "key", "known", "s"])
+            yield from done.to_batches(max_chunksize=50_000)
+
+    return pairs.mapInArrow(run, "chunk long, key long, known long, s double")
+
+
 def write_tables(rows: DataFrame, folder: str) -> None:
-    """One file a chunk: its tokens with count and score. rows: chunk, word, c, s."""
+    """One file a chunk: its pairs with the token's count and the score. rows: chunk, key, known, s."""
 
     def run(batches):
         now, held = None, []
@@ -303,13 +564,13 @@ def write_tables(rows: DataFrame, folder: str) -> None:
                         flush()
                         held = []
                     now = int(chunk[a])
-                    held.append(batch.slice(a, b - a).select(["word", "c", "s"]))
+                    held.append(batch.slice(a, b - a).select(["key", "known", "s"]))
         if held:
             flush()
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], names=["chunk"])
 
     mark = f"{folder}/done-{uuid.uuid4().hex[:6]}"
-    rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long").write.parquet(mark)
+    rows.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(run, "chunk long").write.parquet(mark)
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,32 +580,49 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     held = F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     base = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), held.alias("held_out"), F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}").alias("chunk"))
     base = settle(base, "scoring-texts")
-    chunks = settle(chunk_counts(base), "scoring-chunks")
-    vocabulary = settle(chunks.groupBy("word").agg(F.sum("c").alias("c")), "scoring-vocabulary")
+    vocabulary = settle(chunk_counts(base).groupBy("word").agg(F.sum("c").alias("c")), "scoring-vocabulary")
     known = vocabulary.where("c > 0")
-    n, v, once, twice = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    # a known token's count less a discount, and what is discounted to the bit model: both from counts of counts
-    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
-    fresh = discount * v / n if n else 1.0
+    n, v, once = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
+    fresh = (n - once, once)
     tasks = max(1, -(-v // TRAIN_TOKENS_PER_TASK))
-    table = spark.sparkContext.broadcast(tables(known, tasks))
-    model = spark.sparkContext.broadcast((table.value, *weights(known, tasks, table)))
+    # spelling serves tokens that are new: each known token counts once
+    types = known.select("word", F.lit(1).cast("long").alias("c"))
+    table = spark.sparkContext.broadcast(tables(types, tasks))
+    model = spark.sparkContext.broadcast((table.value, *weights(types, tasks, table)))
 
-    def run(batches):
+    def spell(batches):
         m = Model(*model.value)
         for batch in batches:
-            s = m.score(batch.column("word").to_pylist()) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "s"])
-
-    scored = vocabulary.mapInArrow(run, "word binary, c long, s double")
-    seen = F.log10((F.col("c") - discount) / max(n, 1) + fresh * F.pow(F.lit(10.0), "s"))
-    scored = scored.withColumn("s", F.when(F.col("c") > 0, seen).otherwise(F.col("s") + float(np.log10(fresh))))
-    write_tables(chunks.select("chunk", "word").join(scored, "word").select("chunk", "word", "c", "s"), folder)
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            at, s = np.flatnonzero(c == 0), np.zeros(len(c))
+            if len(at):
+                s[at] = m.score([words[i] for i in at])
+            yield pa.RecordBatch.from_arrays([pa.array([*map(code_of, words)], pa.int64()), batch.column("c"), pa.array(s)], names=["code", "known", "s"])
+
+    spelled = settle(vocabulary.mapInArrow(spell, "code long, known long, s double"), "scoring-codes")
+    cells = np.zeros(1 << TOP_BITS, np.int64)
+    for i, c in spelled.where("known > 0").groupBy(F.shiftrightunsigned("code", 64 - TOP_BITS).alias("i")).agg(F.sum("known")).collect():
+        cells[i] = c
+    top = spark.sparkContext.broadcast(np.concatenate([[0], np.cumsum(cells)]))
+
+    def path(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pdf["code"].to_numpy().view(U)
+        pdf = pdf.iloc[np.argsort(code)]
+        mask, path = paths(np.sort(code), pdf["known"].to_numpy().astype(np.float64))
+        return pd.DataFrame({"code": pdf["code"].to_numpy(), "known": pdf["known"].to_numpy(), "s": 0.0, "mask": mask.view(np.int64), "path": path})
+
+    coded = spelled.where("known > 0").groupBy(F.shiftrightunsigned("code", 64 - GROUP_BITS)).applyInPandas(path, "code long, known long, s double, mask long, path binary")
+    coded = coded.unionByName(spelled.where("known = 0").select("*", F.lit(0).cast("long").alias("mask"), F.lit(b"").alias("path")))
+    coded = settle(coded, "scoring-paths")
+    pairs = settle(pair_counts(base), "scoring-pairs")
+    ready = lambda p: p.join(coded, "code").repartition("prev").sortWithinPartitions("prev", "code")
+    mix = spark.sparkContext.broadcast(word_weights(ready(pairs.where("c > 0")), top, fresh))
+    write_tables(score_pairs(ready(pairs), mix, top, fresh), folder)
     floor = float(np.log10(n + v + 1))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "bytes")], *[T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]])
 
     def look_up(batches):
-        now, index, c, s, lb = None, {}, None, None, None
+        now, codes, key, c, s, lb = None, {}, None, None, None, None
         for batch in batches:
             for piece in steps(batch, "text"):
                 raw = piece.column("text").cast(pa.binary()).to_pylist()
@@ -352,10 +630,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
                 for chunk, words in zip(piece.column("chunk").to_pylist(), tokens_of(raw), strict=True):
                     if chunk != now:
                         got = pa.ipc.open_file(pa.BufferReader(files.read(folder, f"chunk-{chunk}.arrow"))).read_all()
-                        index = {w: i for i, w in enumerate(got.column("word").to_pylist())}
-                        c, s = got.column("c").to_numpy(), got.column("s").to_numpy()
-                        lb, now = np.log10(c + 1.0), chunk
-                    at = np.array([*map(index.__getitem__, words), index[b""]])
+                        key, c, s = (got.column(x).to_numpy() for x in ("key", "known", "s"))
+                        lb, now, codes = np.log10(c + 1.0), chunk, {}
+                    pair = pairs_of(words, codes)
+                    at = np.searchsorted(key, pair_key(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])).view(np.int64))
                     out[0].append(len(at))
                     out[1].append(int((c[at] > 0).sum()))
                     out[2].append(float(lb[at].sum()) - len(at) * floor)

@@ -55,3 +55,45 @@ def test_model_is_a_distribution_and_learns():
 
 def test_empty(spark):
     assert S.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_earlier_words_count(spark):
+    rng = random.Random(8)
+    follow = {w: rng.sample(range(40), 3) for w in range(40)}
+
+    def line():
+        at = [rng.randrange(40)]
+        while len(at) < 60:
+            at.append(rng.choice(follow[at[-1]]))
+        return [f"w{i}" for i in at]
+
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(600) if i not in held[:200]]
+    rows = [(i, " ".join(line())) for i in train if i not in held]
+    fluent, salad = held[100], held[101]
+    words = line()
+    rows += [(fluent, " ".join(words)), (salad, " ".join(rng.sample(words, len(words))))]
+    got = {r.doc_id: r for r in S.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[fluent].held_out and got[salad].held_out and got[fluent].base_score == pytest.approx(got[salad].base_score)
+    assert got[fluent].score > got[salad].score + 10 and got[fluent].score > got[fluent].base_score + 10
+
+
+def test_known_tokens_are_a_distribution():
+    rng = np.random.default_rng(3)
+    code = np.array(sorted((S.code_of(b"w%d" % i) for i in range(4000)), key=lambda x: x % 2**64), np.int64)
+    known = rng.integers(1, 50, 4000)
+    cell = lambda bits: (code.view(np.uint64) >> np.uint64(64 - bits)).astype(int)
+    top = np.concatenate([[0], np.cumsum(np.bincount(cell(S.TOP_BITS), known, 1 << S.TOP_BITS))])
+    mask, path = np.zeros(4000, np.uint64), [b""] * 4000
+    for first in np.unique(cell(S.GROUP_BITS)):
+        at = np.flatnonzero(cell(S.GROUP_BITS) == first)
+        mask[at], got = S.paths(code[at].view(np.uint64), known[at].astype(float))
+        for i, p in zip(at, got, strict=True):
+            path[i] = p
+    c = rng.integers(0, 3, 4000).astype(float)
+    block = (np.zeros(4000, np.int64), code, c, known, mask.view(np.int64), path, top)
+    m = S.Words()
+    m.learn(c, S.decisions(*block, (9000, 100), True))
+    depth, _, bit, counts = next(S.decisions(*block, (9000, 100), False))
+    new = m.mixed(depth, counts)[2][0]
+    assert (bit == 0).all() and (10 ** m.score(4000, S.decisions(*block, (9000, 100), False))).sum() == pytest.approx(1 - new)
