@@ -6,18 +6,19 @@ decision is whether the training documents have the token. A known token's furth
 decision is predicted by the counts of all training tokens (order 0) and by those that follow the same token (order
 1), and by order 1 smoothed with order 0; their log-odds are mixed by weights that a gate selects from the counts. An
 unknown token's bytes and a closing space are spelled by a second mix, of hashed contexts of the bytes before them in
-the token (orders 1 to 4 and the whole prefix), refined by an adaptive probability map.
+the token (orders 1 to 4) and the whole prefix, refined by an adaptive probability map.
 
-The counts of both orders are exact, kept as rows and never collected: distinct tokens and distinct pairs of tokens,
-with what their decisions need computed in runs of sorted codes. Weights are learnt online from all pairs of the
+The counts of both orders and of whole prefixes are exact, kept as rows and never collected: distinct tokens and
+distinct pairs of tokens, with what their decisions need computed in runs of sorted codes and words. Weights are learnt online from all pairs of the
 training documents, each predicted as if one of its occurrences had not been counted; tasks see whole groups of pairs,
 in steps of STEP_DECISIONS, and their weights are averaged.
 
 Texts stay where they are: they are cut to chunks of CHUNK_ROWS rows; each chunk's distinct pairs get their scores in
 one file a chunk in the shared folder, which the last pass over the texts looks its pairs up in.
 
-Fixed sizes: the spelling's tables (TABLE_BITS), weights and map, and the counts of the codes' TOP_BITS; these alone
-are collected and broadcast. A task holds the pairs of one first token at a time.
+Collected and broadcast: weights, map and the counts of the codes' TOP_BITS, of fixed size, and the spelling's tables of
+orders 1 to 4, whose slots follow the number of known tokens up to 2^MOST_BITS an order, without collision checks. A
+task holds the pairs of one first token, and the tokens with the same HEAD bytes, at a time.
 Defined cases: a null or empty text is its end token; documents with a null id are training documents; repeated
 rows count and are scored each; with no training document every count is 0; an empty table gives no rows.
 """
@@ -40,10 +41,10 @@ from . import files
 from .common import settle, steps, work_dir
 
 CHUNK_ROWS = 8192
-TABLE_BITS = (16, 18, 18, 18, 20)
-N_CTX = len(TABLE_BITS)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-SLOTS = int(OFFSETS[-1])
+LEAST_BITS, MOST_BITS = 18, 22
+N_TABLES = 4
+N_CTX = N_TABLES + 1
+HEAD = 4
 PART = 1 << 16
 LEVELS = 6
 GATES = LEVELS * LEVELS * 8
@@ -51,6 +52,7 @@ INPUTS = N_CTX + 1
 BUCKETS = 24
 TRAIN_TOKENS_PER_TASK = 400_000
 STEP_TOKENS = 8192
+LEARN_TOKENS = 512
 RATE = 0.03
 GROUP_BITS = 8
 TOP_BITS = 16
@@ -65,6 +67,22 @@ SPACE = 0x20
 # --- bits and contexts ---------------------------------------------------------------------
 
 
+def slots_for(bits: int) -> int:
+    """Slots of the tables: 2^16 for order 1, which needs no hash, and 2^bits for each other."""
+    return (1 << 16) + (N_TABLES - 1 << bits)
+
+
+SLOTS = slots_for(LEAST_BITS)
+
+
+def bits_of(table: np.ndarray) -> int:
+    return (len(table) // 2 - (1 << 16)).bit_length() - (N_TABLES - 1).bit_length()
+
+
+def bits_for(known: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, int(known).bit_length()))
+
+
 def contexts(tokens: list[bytes]):
     """For each byte of the tokens with their closing space: token index, value, and the hashes of its contexts."""
     data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
@@ -82,22 +100,41 @@ def contexts(tokens: list[bytes]):
         o2 = (back[0] | back[1] << np.uint32(8)) + np.uint32(1)
         o3 = o2 | back[2] << np.uint32(17)
         o4 = (o2 * mul) ^ ((back[2] | back[3] << np.uint32(8)) * np.uint32(0x85EBCA6B))
-        # the whole prefix: sums of byte values times powers, from the token's start
-        value = (data.astype(U) + U(1)) * POWERS[np.minimum(place, len(POWERS) - 1)]
-        run = np.cumsum(value)
-        start = np.cumsum(size) - size
-        before = run - value
-        prefix = before - np.repeat(before[start], size)
-        prefix ^= prefix >> U(29)
-        whole = (prefix * U(0xBF58476D1CE4E5B9) >> U(32)).astype(np.uint32)
-    return token, data, [o1, o2 * mul, o3 * np.uint32(0xC2B2AE35), o4, whole ^ place.astype(np.uint32) * mul], back[0]
-
+    return token, data, [o1, o2 * mul, o3 * np.uint32(0xC2B2AE35), o4], back[0]
 
-with np.errstate(over="ignore"):
-    POWERS = np.cumprod(np.concatenate([[U(1)], np.full(4095, U(0x9E3779B97F4A7C15))]))
 
+def whole_prefix(tokens: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """For each byte (with its closing space) and bit from the highest, the counts of 0 and 1 after the same bits of a token: 2 x 8 x bytes.
 
-def slots(hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    Tokens: distinct, sorted with their closing spaces, all that share HEAD bytes. Left 0 within HEAD, where order 4 has
+    the whole prefix, and where no other token shares it: a token's own count is not needed.
+    """
+    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+    size = np.array([len(t) + 1 for t in tokens], np.int64)
+    start = np.cumsum(size) - size
+    out = np.zeros((2, 8, len(data)), np.float32)
+    heads = [t[:HEAD] for t in tokens]
+    new = np.array([True, *(x != y for x, y in zip(heads[1:], heads, strict=False))])
+    rows, j = np.arange(len(tokens)), HEAD
+    while True:
+        alone = new & np.append(new[1:], True)
+        keep = ~alone & (size[rows] > j)
+        rows, new = rows[keep], new[keep]
+        if not len(rows):
+            return out
+        new[0] = True
+        at = start[rows] + j
+        c, byte = weight[rows], data[at]
+        for b in range(8):
+            run = np.cumsum(new) - 1
+            bit = byte >> np.uint8(7 - b) & np.uint8(1)
+            ones = np.bincount(run, c * bit)
+            out[0, b, at], out[1, b, at] = (np.bincount(run, c) - ones)[run], ones[run]
+            new[1:] |= bit[1:] != bit[:-1]
+        j += 1
+
+
+def slots(hashes: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
     """The contexts' slots for the bits with the given node (the byte's bits so far, with a leading 1)."""
     out = []
     with np.errstate(over="ignore"):
@@ -106,7 +143,7 @@ def slots(hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
                 out.append((h | node).astype(np.int64))
                 continue
             x = (h ^ (node * np.uint32(0x2545F491))) * np.uint32(0x9E3779B1)
-            out.append(((x ^ x >> np.uint32(15)) >> np.uint32(32 - TABLE_BITS[k]) & np.uint32((1 << TABLE_BITS[k]) - 1)).astype(np.int64) + OFFSETS[k])
+            out.append(((x ^ x >> np.uint32(15)) >> np.uint32(32 - bits)).astype(np.int64) + (1 << 16) + (k - 1 << bits))
     return out
 
 
@@ -121,26 +158,34 @@ def count(tokens: list[bytes], weight: np.ndarray, table: np.ndarray) -> None:
     node = np.ones(len(data), np.uint32)
     for b in range(7, -1, -1):
         bit = (data >> b) & 1
-        for k, s in enumerate(slots(hashes, node)):
-            lo, hi = 2 * OFFSETS[k], 2 * OFFSETS[k + 1]
-            table[lo:hi] += np.bincount(2 * s + bit - lo, w, hi - lo)
+        for s in slots(hashes, node, bits_of(table)):
+            np.add.at(table, 2 * s + bit, w)
         node = node * np.uint32(2) + bit
 
 
+def portions(tokens: list[bytes], weight: np.ndarray, whole: np.ndarray | None, step: int):
+    """Tokens, weights and whole-prefix counts (none: zeros) in steps."""
+    ends = np.cumsum([0, *(len(t) + 1 for t in tokens)])
+    for k in range(0, len(tokens), step):
+        a, b = ends[k], ends[min(k + step, len(tokens))]
+        yield tokens[k : k + step], weight[k : k + step], np.zeros((2, 8, b - a), np.float32) if whole is None else whole[:, :, a:b]
+
+
 class Model:
     """Tables, gated weights and the adaptive map."""
 
     def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, apm: np.ndarray | None = None):
-        self.table = table.astype(np.float32)
+        self.table = table.astype(np.float32, copy=False)
+        self.bits = bits_of(table)
         self.weights = np.full((GATES, INPUTS), 0.3, np.float64) if weights is None else weights
         self.apm = np.zeros((256 * BUCKETS, 2)) if apm is None else apm
 
-    def mixed(self, s: list[np.ndarray], bit: np.ndarray, b: int, minus: np.ndarray | None):
+    def mixed(self, s: list[np.ndarray], whole: np.ndarray, bit: np.ndarray, b: int, minus: np.ndarray | None):
         """Inputs (log-odds of the contexts), gate and mixed log-odds."""
         x = np.empty((INPUTS, len(bit)), np.float32)
         totals = []
         for k in range(N_CTX):
-            n0, n1 = self.table[2 * s[k]], self.table[2 * s[k] + 1]
+            n0, n1 = (self.table[2 * s[k]], self.table[2 * s[k] + 1]) if k < N_TABLES else whole
             if minus is not None:
                 n0 = np.maximum(n0 - (1 - bit) * minus, 0)
                 n1 = np.maximum(n1 - bit * minus, 0)
@@ -154,16 +199,15 @@ class Model:
     def cell(self, dot: np.ndarray, prior: np.ndarray) -> np.ndarray:
         return prior.astype(np.int64) * BUCKETS + np.clip((dot + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
 
-    def learn(self, tokens: list[bytes], weight: np.ndarray) -> None:
+    def learn(self, tokens: list[bytes], weight: np.ndarray, whole: np.ndarray | None = None) -> None:
         """Online: tokens in steps, the weights moved after each."""
-        for at in range(0, len(tokens), STEP_TOKENS):
-            part, w = tokens[at : at + STEP_TOKENS], weight[at : at + STEP_TOKENS]
+        for part, w, over in portions(tokens, weight, whole, LEARN_TOKENS):
             token, data, hashes, prior = contexts(part)
             each = w[token].astype(np.float64)
             node = np.ones(len(data), np.uint32)
             for b in range(7, -1, -1):
                 bit = ((data >> b) & 1).astype(np.float32)
-                x, gate, dot = self.mixed(slots(hashes, node), bit, b, np.float32(1))
+                x, gate, dot = self.mixed(slots(hashes, node, self.bits), over[:, 7 - b], bit, b, np.float32(1))
                 p = 1 / (1 + np.exp(-dot.astype(np.float64)))
                 err = (bit - p) * each
                 total = np.bincount(gate, each, GATES)
@@ -174,24 +218,24 @@ class Model:
                 self.apm[:, 1] += np.bincount(cell, each * bit, len(self.apm))
                 node = node * np.uint32(2) + bit.astype(np.uint32)
 
-    def score(self, tokens: list[bytes]) -> np.ndarray:
+    def score(self, tokens: list[bytes], whole: np.ndarray | None = None) -> np.ndarray:
         """log10 of each token's probability."""
-        out = np.zeros(len(tokens))
+        out = [np.zeros(0)]
         share = (self.apm[:, 1] + 1e-3) / (self.apm[:, 0] + 2e-3)
         trust = self.apm[:, 0] / (self.apm[:, 0] + 50)
-        for at in range(0, len(tokens), STEP_TOKENS):
-            token, data, hashes, prior = contexts(tokens[at : at + STEP_TOKENS])
+        for part, _, over in portions(tokens, np.zeros(len(tokens)), whole, STEP_TOKENS):
+            token, data, hashes, prior = contexts(part)
             node, total = np.ones(len(data), np.uint32), np.zeros(len(data))
             for b in range(7, -1, -1):
                 bit = (data >> b) & 1
-                _, _, dot = self.mixed(slots(hashes, node), bit, b, None)
+                _, _, dot = self.mixed(slots(hashes, node, self.bits), over[:, 7 - b], bit, b, None)
                 p = 1 / (1 + np.exp(-dot.astype(np.float64)))
                 cell = self.cell(dot, prior)
                 p = p + 0.5 * trust[cell] * (share[cell] - p)
                 total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1))
                 node = node * np.uint32(2) + bit
-            out[at : at + STEP_TOKENS] = np.bincount(token, total, len(out[at : at + STEP_TOKENS]))
-        return out
+            out.append(np.bincount(token, total, len(part)))
+        return np.concatenate(out)
 
 # --- decisions on known tokens -------------------------------------------------------------
 
@@ -377,18 +421,18 @@ def chunk_counts(base: DataFrame) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def tables(vocabulary: DataFrame, tasks: int) -> np.ndarray:
-    """Bit counts of all training tokens, SLOTS x 2, flat: summed part by part, collected at their fixed size."""
+def tables(vocabulary: DataFrame, tasks: int, slots: int) -> np.ndarray:
+    """Bit counts of all known tokens, slots x 2, flat: summed part by part, collected at that size."""
 
     def run(batches):
-        table, any_ = np.zeros(2 * SLOTS), False
+        table, any_ = np.zeros(2 * slots), False
         for batch in batches:
             for k in range(0, batch.num_rows, STEP_TOKENS):
                 part = batch.slice(k, STEP_TOKENS)
                 count(part.column("word").to_pylist(), part.column("c").to_numpy(), table)
                 any_ = True
         if any_:
-            for k in range(0, 2 * SLOTS, PART):
+            for k in range(0, 2 * slots, PART):
                 piece = table[k : k + PART]
                 at = np.flatnonzero(piece)
                 if len(at):
@@ -404,27 +448,44 @@ def tables(vocabulary: DataFrame, tasks: int) -> np.ndarray:
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "value": [total.astype("<f4").tobytes()]})
 
     rows = vocabulary.repartition(tasks).mapInArrow(run, "part int, at binary, value binary").groupBy("part").applyInPandas(add, "part int, value binary").collect()
-    out = np.zeros(2 * SLOTS, np.float32)
+    out = np.zeros(2 * slots, np.float32)
     for r in rows:
         piece = np.frombuffer(r["value"], "<f4")
-        out[r["part"] * PART : r["part"] * PART + len(piece)] = piece[: 2 * SLOTS - r["part"] * PART]
+        out[r["part"] * PART : r["part"] * PART + len(piece)] = piece[: 2 * slots - r["part"] * PART]
     return out
 
 
-def weights(vocabulary: DataFrame, tasks: int, table) -> tuple[np.ndarray, np.ndarray]:
-    """The tasks' learnt weights, averaged by how much each has learnt from, and their summed maps: fixed numbers of values."""
+def by_spelling(block: pa.Table):
+    """The block's words sorted with their closing spaces, their counts and those of their whole prefixes by known tokens."""
+    c = block.column("c").to_numpy()
+    words = block.column("word").to_pylist()
+    order = sorted(range(len(words)), key=lambda i: words[i] + b" ")
+    words, c = [words[i] for i in order], c[order]
+    return words, c, whole_prefix(words, (c > 0).astype(np.float64))
+
+
+def weights(vocabulary: DataFrame, table) -> tuple[np.ndarray, np.ndarray]:
+    """The tasks' learnt weights, averaged by how much each has learnt from, and their summed maps: fixed numbers of values.
+
+    A task learns from all its known tokens, each once; vocabulary: head, word, c, heads whole and in order.
+    """
 
     def run(batches):
         model, learnt = Model(table.value), 0
-        for batch in batches:
-            c = batch.column("c").to_numpy()
-            model.learn(batch.column("word").to_pylist(), c)
+        for block in blocks(batches, "head"):
+            words, c, whole = by_spelling(block)
+            at = np.random.default_rng(len(words)).permutation(len(words))
+            ends = np.cumsum([0, *(len(w) + 1 for w in words)])
+            for k in range(0, len(at), STEP_TOKENS):
+                part = at[k : k + STEP_TOKENS]
+                bytes_ = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in part])
+                model.learn([words[i] for i in part], np.ones(len(part)), whole[:, :, bytes_])
             learnt += len(c)
         if learnt:
             w, a = model.weights.ravel(), model.apm.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + len(a) + 1)), pa.array(np.concatenate([w * learnt, a, [learnt]]))], names=["i", "v"])
 
-    rows = vocabulary.repartition(tasks).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = vocabulary.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(GATES * INPUTS + 512 * BUCKETS + 1)
     for i, v in rows:
         flat[i] = v
@@ -480,8 +541,8 @@ def pairs_of(words: list[bytes], codes: dict) -> np.ndarray:
     return np.stack([line[:-1], line[1:]], 1)
 
 
-def blocks(batches):
-    """Record batches sorted by prev, as tables of whole groups of at least BLOCK_ROWS rows but for the last."""
+def blocks(batches, name: str):
+    """Record batches sorted by the named column, as tables of whole groups of at least BLOCK_ROWS rows but for the last."""
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -489,9 +550,9 @@ def blocks(batches):
         held.append(batch)
         size += batch.num_rows
         if size >= BLOCK_ROWS:
-            prev = batch.column("prev").to_numpy()
-            ends = np.flatnonzero(prev[1:] != prev[:-1])
-            whole = len(held) > 1 and held[-2].column("prev")[-1].as_py() != prev[0]
+            group = batch.column(name).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(group[1:] != group[:-1])
+            whole = len(held) > 1 and held[-2].column(name)[-1].as_py() != group[0]
             if len(ends) or whole:
                 at = int(ends[-1]) + 1 if len(ends) else 0
                 yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
@@ -515,7 +576,7 @@ def word_weights(pairs: DataFrame, top, fresh: tuple[int, int]) -> np.ndarray:
 
     def run(batches):
         model, learnt = Words(), 0
-        for block in blocks(batches):
+        for block in blocks(batches, "prev"):
             _, _, got = distinct(block)
             learnt += model.learn(got[2], decisions(*got, top.value, fresh, True))
         if learnt:
@@ -532,7 +593,7 @@ def score_pairs(pairs: DataFrame, model, top, fresh: tuple[int, int]) -> DataFra
 
     def run(batches):
         words = Words(model.value)
-        for block in blocks(batches):
+        for block in blocks(batches, "prev"):
             which, at, got = distinct(block)
             s = words.score(len(at), decisions(*got, top.value, fresh, False))[which] + block.column("s").to_numpy()
             key = pair_key(got[0], got[1])[which].view(np.int64)
@@ -587,19 +648,22 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     tasks = max(1, -(-v // TRAIN_TOKENS_PER_TASK))
     # spelling serves tokens that are new: each known token counts once
     types = known.select("word", F.lit(1).cast("long").alias("c"))
-    table = spark.sparkContext.broadcast(tables(types, tasks))
-    model = spark.sparkContext.broadcast((table.value, *weights(types, tasks, table)))
+    headed = lambda p: p.withColumn("head", F.substring("word", 1, HEAD)).repartition("head").sortWithinPartitions("head")
+    table = spark.sparkContext.broadcast(tables(types, tasks, slots_for(bits_for(v))))
+    learnt = spark.sparkContext.broadcast(weights(headed(known), table))
 
     def spell(batches):
-        m = Model(*model.value)
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            at, s = np.flatnonzero(c == 0), np.zeros(len(c))
-            if len(at):
-                s[at] = m.score([words[i] for i in at])
-            yield pa.RecordBatch.from_arrays([pa.array([*map(code_of, words)], pa.int64()), batch.column("c"), pa.array(s)], names=["code", "known", "s"])
+        m = Model(table.value, *learnt.value)
+        for block in blocks(batches, "head"):
+            words, c, whole = by_spelling(block)
+            new, s = c == 0, np.zeros(len(c))
+            if new.any():
+                size = np.array([len(w) + 1 for w in words])
+                s[new] = m.score([w for w, x in zip(words, new, strict=True) if x], whole[:, :, np.repeat(new, size)])
+            done = pa.Table.from_arrays([pa.array([*map(code_of, words)], pa.int64()), pa.array(c), pa.array(s)], names=["code", "known", "s"])
+            yield from done.to_batches(max_chunksize=50_000)
 
-    spelled = settle(vocabulary.mapInArrow(spell, "code long, known long, s double"), "scoring-codes")
+    spelled = settle(headed(vocabulary).mapInArrow(spell, "code long, known long, s double"), "scoring-codes")
     cells = np.zeros(1 << TOP_BITS, np.int64)
     for i, c in spelled.where("known > 0").groupBy(F.shiftrightunsigned("code", 64 - TOP_BITS).alias("i")).agg(F.sum("known")).collect():
         cells[i] = c

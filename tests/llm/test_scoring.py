@@ -97,3 +97,28 @@ def test_known_tokens_are_a_distribution():
     depth, _, bit, counts = next(S.decisions(*block, (9000, 100), False))
     new = m.mixed(depth, counts)[2][0]
     assert (bit == 0).all() and (10 ** m.score(4000, S.decisions(*block, (9000, 100), False))).sum() == pytest.approx(1 - new)
+
+
+def test_spelling_follows_the_corpus():
+    assert S.bits_for(10) == S.LEAST_BITS < S.bits_for(1 << 20) < S.bits_for(1 << 21) <= S.MOST_BITS
+    assert S.bits_of(np.zeros(2 * S.slots_for(S.bits_for(1 << 20)))) == S.bits_for(1 << 20)
+    rng = random.Random(5)
+    words = {bytes(rng.choice(b"ab\x01\xc3") for _ in range(rng.randrange(0, 9))) for _ in range(400)} | {b"abab" + b"a" * k for k in (60, 300)}
+    words = sorted(words, key=lambda w: w + b" ")
+    c = np.array([rng.randrange(3) for _ in words], float)
+    got = S.whole_prefix(words, c)
+    bits = lambda w: "".join(f"{x:08b}" for x in w + b" ")
+    count = Counter()
+    for w, n in zip(words, c, strict=True):
+        for i in range(len(bits(w))):
+            count[bits(w)[: i + 1]] += n
+    at = 0
+    for w, n in zip(words, c, strict=True):
+        for j in range(len(w) + 1):
+            for b in range(8):
+                own = bits(w)[8 * j + b] == "1"
+                want = [count[bits(w)[: 8 * j + b] + x] for x in "01"]
+                others = sum(want) - n
+                found = got[:, b, at + j]
+                assert not found.any() if j < S.HEAD else (list(found) == want or (others == 0 and not found.any() and want[1 - own] == 0))
+        at += len(w) + 1
