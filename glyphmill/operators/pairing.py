@@ -43,6 +43,34 @@ def best_unique(df: DataFrame, keys: list[str], score: str, second: str, tie: li
     return ranked.where((F.col("__n") == 1) | ((F.col(score) >= least) & clear)).drop("__r", "__s", "__t", "__n")
 
 
+def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other: str, name: str, least: int) -> DataFrame:
+    """key, other, score: the rows of best_unique by similarity(stem, name) over all pairs, without the pairs; null names are no candidates.
+
+    A right row is found under each prefix and suffix of its name that do not overlap. A left row looks up its own, with
+    prefixes up to the longest that the right side has; under the best key found lie just the rows with the best scores.
+    """
+    upto = lambda n: F.sequence(F.lit(0), n)
+    head = lambda c, i: c.substr(F.lit(1), i)
+    tail = lambda c, j: c.substr(F.length(c) - j + 1, j)
+    n, s = F.col(name), F.col(stem)
+    right = right.where(n.isNotNull())
+    one = right.select(other, name, F.explode(upto(F.length(n))).alias("__i"))
+    two = one.select(other, name, "__i", F.explode(upto(F.length(n) - F.col("__i"))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
+    found = two.groupBy(head(n, F.col("__i")).alias("__h"), tail(n, F.col("__j")).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.min(other).alias(other))
+    heads = one.where("__i > 0").select(head(n, F.col("__i")).alias("__h")).distinct()
+    own = left.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: head(s, i))).alias("__h"))
+    most = own.join(heads, "__h").groupBy(key).agg(F.max(F.length("__h")).alias("__most"))
+    look = left.join(most, key, "left").where(s.isNotNull()).select(key, stem, F.explode(upto(F.coalesce("__most", F.lit(0)))).alias("__i"))
+    look = look.select(key, stem, "__i", F.explode(upto(F.length(s))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
+    look = look.select(key, head(s, F.col("__i")).alias("__h"), tail(s, F.col("__j")).alias("__t"), (F.col("__i") + F.col("__j")).alias("score"), "__i")
+    best = look.join(found, ["__h", "__t"]).groupBy(key).agg(F.max_by(F.struct("__k", other, "score"), F.struct("score", "__i")).alias("__b")).where("__b.__k = 1")
+    best = best.select(key, f"__b.{other}", "__b.score")
+    # an only candidate is taken whatever its score
+    only = right.agg(F.count(F.lit(1)).alias("__n"), F.min(other).alias(other), F.min(name).alias(name)).where("__n = 1")
+    alone = left.where(s.isNotNull()).crossJoin(F.broadcast(only)).select(key, other, similarity(s, n)[0].alias("score"))
+    return best.join(F.broadcast(only.select(F.lit(1))), F.lit(True), "left_anti").unionByName(alone)
+
+
 def overlaps(spans: DataFrame, keys: list[str], lo: str, hi: str, ident: str) -> DataFrame:
     """Whether a span of the group overlaps another, by one sort: a span overlaps an earlier one if it begins before their greatest end."""
     w = Window.partitionBy(*keys).orderBy(lo, hi, ident).rowsBetween(Window.unboundedPreceding, -1)

@@ -176,6 +176,18 @@ def best_similar_unique(spark, d):
     return P.best_unique(c, ["n_nationkey"], "score", "lcp", ["other"], 2).select("n_nationkey", "other", "score")
 
 
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_name || '#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS stem FROM part), c AS (SELECT p_partkey, stem, s_suppkey, s_name FROM p CROSS JOIN supplier),
+s AS (SELECT *, {_lcp("stem", "s_name")} AS lcp, {_lcp("reverse(stem)", "reverse(s_name)")} AS lcs FROM c),
+t AS (SELECT *, lcp + least(lcs, CAST(length(s_name) AS INTEGER) - lcp) AS score FROM s),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS s2, lead(lcp) OVER w AS l2, count(*) OVER (PARTITION BY p_partkey) AS n FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, lcp DESC, s_suppkey))
+SELECT p_partkey, s_suppkey, CAST(score AS INTEGER) AS score FROM r WHERE k = 1 AND (n = 1 OR (score >= 2 AND (s2 IS NULL OR NOT (s2 = score AND l2 = lcp))))"""
+)
+def similar_supplier(spark, d):
+    parts = table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.concat("p_name", F.lit("#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("stem"))
+    return P.similar_unique(parts, "p_partkey", "stem", table(spark, d, "supplier", "s_suppkey", "s_name"), "s_suppkey", "s_name", 2)
+
+
 @query("WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS lo, epoch_us(ts) + CAST(floor(abs(coalesce(value, 0))) AS BIGINT) * 1000000 + 1 AS hi FROM events) SELECT user_id, bool_or(EXISTS (SELECT 1 FROM e b WHERE b.user_id = e.user_id AND b.event_id <> e.event_id AND b.lo < e.hi AND e.lo < b.hi)) AS overlap, count(*) AS n FROM e GROUP BY user_id")
 def interval_overlap(spark, d):
     ev = table(spark, d, "events", "user_id", "event_id", "ts", "value")
@@ -245,6 +257,13 @@ def byte_histogram(spark, d):
     return chars.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
+def text_histogram(spark, d):
+    # the first of two aggregations counts inside the tasks: only their distinct characters are shuffled
+    chars = table(spark, d, "documents", "text").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    return chars.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag")
 def magic_carve(spark, d):
     tags = table(spark, d, "pages", "page_id", "html").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
