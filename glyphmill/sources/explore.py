@@ -47,6 +47,10 @@ def walk(data: bytes, item: str, loc: tuple[str, ...] = (), depth: int = 0) -> I
     data, codec = unwrap(data)
     if codec:
         loc = (*loc, f"codec:{codec}")
+        # a difference filter may stand under a codec; only that pair is followed
+        inner, under = unwrap(data) if data[:1] in (b"\x81", b"\x82") else (data, None)
+        if under:
+            data, loc = inner, (*loc, f"codec:{under}")
     h = nitro.header(data)
     found = None if depth >= DEEPEST or h and h.kind != "NARC" else A.detect(data)
     if found and (A.KINDS[found[0]].magic or depth == 0 and not codec or found[0] in ("nitrofs", "cingpack", "pair_table")):

@@ -206,3 +206,9 @@ def test_explore(spark):
         ("deep", "deep/in/in/in", "narc:0/narc:0/narc:0", "NARC"),
         ("none", "none", "", None),
     }
+
+
+@pytest.mark.parametrize("under", ["diff8", "diff16"])
+def test_filter_under_codec(under):
+    data = bios.CODECS["lz10"][2](bios.CODECS[under][2](bytes(range(200)) * 2))
+    assert list(E.walk(data, "f")) == [("f", ("codec:lz10", f"codec:{under}"), None, bytes(range(200)) * 2)]
