@@ -1,7 +1,8 @@
 """Chat formatting: records of any known layout to canonical turns, then to one marked string.
 
 Each record is a VARIANT. Its nested field paths, without the value types, are hashed to a schema
-fingerprint, which selects a declarative mapping to canonical turns (role, text). Turns are
+fingerprint, which selects a declarative mapping to canonical turns (role, text); a record with more fields than a
+layout has gets the first mapping whose paths it holds. Turns are
 gathered by conversation in turn order and marked:
 
     <|role|>ROLE<|text|>TEXT<|end|>
@@ -11,13 +12,16 @@ there are some), which parse() takes off again. Next to the string stand the tur
 for each turn the start and length, in characters of that turn's segment, of what is trained on (an assistant's text).
 All of it runs as built-in functions.
 
-Defined cases: null roles and texts are empty; records of an unknown layout give no turns and are found by
-unknown(); turns with equal numbers follow by place in their record, role and text; null turn numbers come first; repeated
+Defined cases: null roles and texts are empty; records of an unknown layout give no turns, are found by
+unknown() and counted with their conversation; an empty list of turns is a known layout; a system field beside a record's
+turns is a turn before them; turns with equal numbers follow by place in their record, role and text; null turn numbers come first; repeated
 rows are turns of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +78,27 @@ MAPPINGS = {
 }
 
 
+def holds(v: Column, layout: str) -> Column:
+    """Whether the record has all paths of the layout, whatever else it has; lists may be empty."""
+    has = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
+    fields = re.findall(r"(\w+): _", layout)
+    items = re.match(r"OBJECT<(\w+): ARRAY<", layout)
+    found = F.lit(True)
+    for name in fields:
+        found &= has(f"$.{items[1]}[0].{name}" if items else f"$.{name}")
+    if items:
+        found |= F.coalesce(F.size(F.try_variant_get(v, f"$.{items[1]}", "array<variant>")) == 0, F.lit(False))
+    return found
+
+
+def with_system(v: Column, layout: str, turns: Column) -> Column:
+    """The turns after the record's system text, if it has one; a record that is one turn itself has none."""
+    system = get(v, "$.system")
+    if "role: _" in layout and "ARRAY" not in layout:
+        return turns
+    return F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.array(turn("system", system)).cast(TURNS), turns)).otherwise(turns)
+
+
 def canonical(df: DataFrame, record: str = "record") -> DataFrame:
     """df with layout (the fingerprint) and turns (null for an unknown layout)."""
     v = F.col(f"`{record}`")
@@ -83,6 +108,9 @@ def canonical(df: DataFrame, record: str = "record") -> DataFrame:
         test = F.col("layout") == shape(text)
         made = mapping(v).cast(TURNS)
         chosen = F.when(test, made) if chosen is None else chosen.when(test, made)
+    # lists of turns before single ones, more fields before fewer
+    for text in sorted(MAPPINGS, key=lambda x: ("ARRAY" not in x, -x.count(": _"))):
+        chosen = chosen.when(holds(v, text), with_system(v, text, MAPPINGS[text](v).cast(TURNS)))
     return df.withColumn("turns", chosen)
 
 
@@ -100,14 +128,16 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn_no: str = "turn") -> DataFrame:
-    """conv, formatted and loss_spans from rows of canonical()."""
-    each = df.where(F.col("turns").isNotNull()).select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn_no}`").alias("no"), F.posexplode("turns").alias("place", "t"))
+    """conv, formatted, loss_spans and unknown (how many of its records have no known layout) from rows of canonical()."""
+    lost = F.col("turns").isNull()
+    each = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn_no}`").alias("no"), lost.alias("lost"), F.posexplode_outer("turns").alias("place", "t"))
     head = F.concat(F.lit("<|role|>"), escaped(F.col("t.role")), F.lit("<|text|>"))
     body = escaped(F.col("t.text"))
     trained = F.col("t.role") == "assistant"
     item = F.struct("no", "place", F.col("t.role").alias("role"), F.col("t.text").alias("text"), F.concat(head, body, F.lit("<|end|>")).alias("part"), F.struct(F.when(trained, F.length(head)).otherwise(0).alias("start"), F.when(trained, F.length(body)).otherwise(0).alias("length")).alias("loss"))
-    whole = each.select("conv", item.alias("item")).groupBy("conv").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return whole.select(F.col("conv").alias(conv), F.array_join("items.part", "").alias("formatted"), F.col("items.loss").alias("loss_spans"))
+    each = each.select("conv", "lost", F.when(F.col("place").isNotNull(), item).alias("item"))
+    whole = each.groupBy("conv").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count_if("lost").alias("unknown"))
+    return whole.select(F.col("conv").alias(conv), F.array_join("items.part", "").alias("formatted"), F.col("items.loss").alias("loss_spans"), "unknown")
 
 
 def segments(formatted: Column) -> Column:

@@ -52,3 +52,24 @@ def test_native_and_empty(spark):
     assert made.count() == 0
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_more_fields_and_unknown_records(spark):
+    records = {
+        '{"id":7,"prompt":"p","response":"r","system":"s"}': ["system:s", "user:p", "assistant:r"],
+        '{"messages":[{"role":"user","content":"u","name":"n"}],"source":"x"}': ["user:u"],
+        '{"role":"user","text":"t","system":"no turn","n":1.5}': ["user:t"],
+        '{"instruction":"i","input":"n","output":null,"id":"a"}': ["user:i\n\nn", "assistant:"],
+        '{"conversations":[{"from":"human","value":"h","w":1},{"from":"gpt","value":"g"}],"system":""}': ["user:h", "assistant:g"],
+        '{"messages":[]}': [],
+        '{"something":"else"}': None,
+        '[1]': None,
+    }
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(records)], "conv_id long, turn long, j string")
+    made = C.canonical(df.select("conv_id", "turn", F.parse_json("j").alias("record")))
+    got = {r.conv_id: r.turns for r in made.select("conv_id", "turns").collect()}
+    for i, want in enumerate(records.values()):
+        assert (got[i] if want is None else [f"{t.role}:{t.text}" for t in got[i]]) == want
+    done = {r.conv_id: r for r in C.format_chats(made).collect()}
+    assert {k: r.unknown for k, r in done.items()} == {i: int(want is None) for i, want in enumerate(records.values())}
+    assert done[5].formatted == done[6].formatted == "" and done[0].formatted.startswith("<|role|>system<|text|>s<|end|>")
