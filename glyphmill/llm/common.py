@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,13 +19,16 @@ STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
     global _OWN
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN is None:
         _OWN = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+        atexit.register(shutil.rmtree, _OWN[7:], True)
     return _OWN
 
 
@@ -44,11 +48,40 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Has Spark remove an execution's shuffle files as it ends: what was settled is read from its table.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a table in the shared folder, which a lost executor does not take along."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    done = spark.read.schema(df.schema).parquet(path)
+    done.settled_at = path
+    return done
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables made by settle that no later step reads."""
+    for df in tables:
+        if df is not None and getattr(df, "settled_at", None):
+            remove(df.sparkSession, df.settled_at)
+            df.settled_at = None
+
+
+#: Broadcast sides are at most this large by count of their rows and values; beyond it the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def free_name(name: str, taken) -> str:
