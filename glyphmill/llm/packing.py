@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
     """key, piece, start, length, ids_crc32, ids of every piece, without a shuffle."""
     schema = T.StructType([docs.schema[key], *[T.StructField(n, T.LongType() if n != "piece" else T.IntegerType()) for n in ("piece", "start", "length", "ids_crc32")]])
     arrow = to_arrow_schema(schema)
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], np.uint32)
 
     def run(batches):
         code = encoder(path)
@@ -111,8 +111,8 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
             for part in steps(batch, text):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(code.ids(part.column(text).cast(pa.binary()).to_pylist())):
-                    ids += tail
-                    n = len(ids) // 4
+                    ids = np.append(ids, tail)
+                    n = len(ids)
                     count = -(-n // size)
                     a = 0
                     for k in range(count):
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
                         piece.append(k)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+                        crc.append(zlib.crc32(ids[a:b]))
                         a = b
                 keys = part.column(key).take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, arrow.field(n + 1).type) for n, x in enumerate((piece, start, length, crc))]], schema=arrow)

@@ -1,32 +1,123 @@
 """Token ids by a tokenizer's file: the library's own results, with a cache of white-space chunks.
 
-The public tokenizers never join characters across the chunk bounds used here, so a text's ids
-are its chunks' ids one after another. That is used for texts of plain characters only (tab, newline,
-carriage return, printable ASCII and Latin letters of U+00A1 to U+024F, none of the added tokens' strings);
-any other text goes to the library as a whole. The cache is cleared when it holds CACHE entries.
+The public tokenizers named in KNOWN never join characters across the chunk bounds used here, so a text's ids
+are its chunks' ids one after another. Chunks are found and hashed (64 bits) by numpy over many texts at once; the
+library is asked once for each distinct chunk, and a text's ids are gathered from what it answered. New chunks of ASCII
+letters alone are asked for many in one string, as their first or last ids tell where they end. All that is used
+for texts of plain characters only (tab, newline, carriage return, printable ASCII and Latin letters of
+U+00A1 to U+024F, none of the added tokens' strings); any other text, and any text for a tokenizer whose
+normaliser and pre-tokenizer are not exactly those of KNOWN, goes to the library as a whole. The cache is cleared
+when it holds CACHE entries. Two chunks of one worker's cache share a hash with a chance of 2e-8.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
+import os
 
 import numpy as np
+import pandas as pd
 
 CACHE = 800_000
-PLAIN = re.compile("[^\t\n\r -~¡-ɏ]")
-#: Where a space before a word belongs to it: chunks of the byte-level kind.
-SPACED = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
+#: Bytes that are hashed at a time; a longer chunk is hashed alone.
+PIECE = 1 << 20
+#: The normalisers and pre-tokenizers (as in the tokenizers' files) that the chunk rules hold for.
+WORD_END = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+BYTE_LEVEL = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+KNOWN = {"words": WORD_END, "spaced": BYTE_LEVEL}
+
+WHITE = np.zeros(256, bool)
+WHITE[[0x09, 0x0A, 0x0D, 0x20]] = True
+#: Bytes of plain texts: white space, printable ASCII, the lead bytes C2 to C9 and what follows them.
+PLAIN = WHITE.copy()
+PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA)]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: New chunks that are sent to the library as one string.
+TOGETHER = 512
+_VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 _OPEN: dict[str, Encoder] = {}
 
 
-def stem(chunk: str) -> str:
-    """The chunk without a comma or full stop after a plain word: the tokenizers cut there in any case."""
-    if chunk[-1] in ",." and (chunk[1:-1] if chunk[0] == " " else chunk[:-1]).isalpha():
-        return chunk[:-1]
-    return chunk
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, PIECE), np.uint64(base))]))
+    return _POWERS
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the given spans (sorted, apart from one another)."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+            a, b = int(start[i]), int(end[j - 1])
+            up, down = powers(b - a + 1)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data[a:b]] * up[: b - a])])
+            s, e = start[i:j] - a, end[i:j] - a
+            x = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+            out[i:j] = x ^ x >> np.uint64(32)
+            i = j
+    return out
+
+
+def spans(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chunks of texts that are each closed by a zero byte."""
+    solid = ~WHITE[data] & (data != 0)
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    # a comma or full stop between a letter and a word's end is cut off there by both pre-tokenizers
+    last = data[end - 1]
+    mark = end[((last == 0x2C) | (last == 0x2E)) & (end - start > 1) & LETTER[data[end - 2]]]
+    if kind == "words":
+        return with_marks(start, end, mark)
+    # a single space before a word belongs to it; of more white space before a word the rest is a chunk, and
+    # so is the last one if it is no space; white space at a text's end is one chunk
+    own = np.zeros(len(start), bool)
+    own[start > 0] = data[start[start > 0] - 1] == 0x20
+    white = WHITE[data]
+    edge = np.flatnonzero(np.diff(white, prepend=False, append=False))
+    first, last = edge[::2], edge[1::2]
+    before = solid[np.minimum(last, len(data) - 1)] & (last < len(data))
+    stop = last - before
+    most = stop > first
+    single = before & (data[last - 1] != 0x20) if len(last) else before
+    starts = np.concatenate([start - own, first[most], last[single] - 1])
+    ends = np.concatenate([end, stop[most], last[single]])
+    order = np.argsort(starts, kind="stable")
+    return with_marks(starts[order], ends[order], mark)
+
+
+def with_marks(start: np.ndarray, end: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks, with the last byte of those that end at `mark` as a chunk of its own."""
+    if not len(mark):
+        return start, end
+    k = np.searchsorted(end, mark)
+    end = end.copy()
+    end[k] -= 1
+    return np.insert(start, k + 1, mark - 1), np.insert(end, k + 1, mark)
+
+
+def ragged(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... size[0] - 1, 0, 1, ..."""
+    upto = np.cumsum(size)
+    return np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size, size)
 
 
 class Encoder:
@@ -36,54 +127,122 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
             made = json.load(f)
-        self.added = [t["content"] for t in made["added_tokens"]]
-        normal = json.dumps(made["normalizer"])
-        pre = json.dumps(made["pre_tokenizer"])
-        if "Removed" in pre and "\\\\s+" in normal:
-            self.split, self.fold = str.split, str.lower  # the normaliser lower-cases
-        elif made["normalizer"] is None and made["pre_tokenizer"].get("type") == "ByteLevel" and made["pre_tokenizer"].get("use_regex") and not made["pre_tokenizer"].get("add_prefix_space"):
-            self.split, self.fold = SPACED.findall, str
-        else:
-            self.split, self.fold = None, str
-        self.cache: dict[str, bytes] = {}
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list = [b""] * len(texts)
-        plain, other = [], []
-        for i, raw in enumerate(texts):
-            if raw:
-                text = raw.decode()
-                fast = self.split and not PLAIN.search(text) and not any(a in text for a in self.added)
-                (plain if fast else other).append((i, text))
+        self.added = [t["content"].encode() for t in made["added_tokens"]]
+        rules = (made["normalizer"], made["pre_tokenizer"])
+        self.kind = next((k for k, known in KNOWN.items() if known == rules and not made.get("truncation")), None)
+        if self.kind:
+            # an id that ends a word, or that begins with the space before one
+            tells = made["model"].get("end_of_word_suffix") if self.kind == "words" else "\u0120"
+            found = self.library.get_vocab()
+            self.edge = np.zeros(max(found.values()) + 1, bool)
+            for t, i in found.items():
+                self.edge[i] = bool(tells) and (t.endswith(tells) if self.kind == "words" else t.startswith(tells))
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << 12, np.int64)  # slot k's ids are flat[at[k]:at[k + 1]]
+
+    def ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number for chunks of letters alone (behind a space, for the spaced kind), asked for many together."""
+        size = end - start
+        gap = int(self.kind == "words")  # a space between words; the spaced kind has its own
+        upto = np.cumsum(size + gap)
+        text = np.full(int(upto[-1]), 0x20, np.uint8)
+        at = np.repeat(upto - size - gap, size) + ragged(size)
+        text[at] = data[np.repeat(start, size) + ragged(size)]
+        cut = [0, *upto[TOGETHER - 1 :: TOGETHER].tolist(), int(upto[-1])]
+        raw = text.tobytes()
+        parts = self.ask([raw[a:b].decode() for a, b in zip(cut, cut[1:], strict=False) if b > a])
+        ids = np.fromiter((i for p in parts for i in p), np.uint32, sum(map(len, parts)))
+        edge = np.flatnonzero(self.edge[ids])
+        if len(edge) != len(start):
+            return None
+        return ids, np.diff(edge, prepend=-1) if gap else np.diff(np.append(edge, len(ids)))
+
+    def add(self, keys: list[int], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Gives new chunks their slots."""
+        lead = start + int(self.kind == "spaced")
+        other = np.concatenate([[0], np.cumsum(~LETTER[data])])
+        plain = (other[end] == other[np.minimum(lead, end)]) & (end > lead) & ((lead == start) | (data[start] == 0x20))
+        one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        got = self.letters(data, start[one], end[one]) if len(one) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if got is None:  # a vocabulary whose marks don't tell
+            one, rest, got = one[:0], np.arange(len(start)), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        lists = self.ask([data[start[k] : end[k]].tobytes().decode() for k in rest]) if len(rest) else []
+        ids = np.concatenate([got[0], np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))])
+        size = np.concatenate([got[1], np.array([len(x) for x in lists], np.int64)])
+        n, m = len(self.slot), len(size)
+        if n + m + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), m + 1), np.int64)])
+        at = int(self.at[n])
+        self.at[n + 1 : n + m + 1] = at + np.cumsum(size)
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[at : at + len(ids)] = ids
+        slots = np.empty(m, np.int64)
+        slots[np.concatenate([one, rest])] = np.arange(n, n + m)
+        self.slot.update(zip(keys, slots.tolist(), strict=True))
+        return slots
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit integers."""
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
+        full = [i for i, t in enumerate(texts) if t]
+        if not full:
+            return out
+        plain = self.plain([texts[i] for i in full]) if self.kind else np.zeros(len(full), bool)
+        fast = [i for i, ok in zip(full, plain, strict=True) if ok]
+        other = [i for i, ok in zip(full, plain, strict=True) if not ok]
         if other:
-            for (i, _), e in zip(other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        cut = [self.split(t) for _, t in plain]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = {c for chunks in cut for c in chunks if c not in cache}
-        folded = {c: self.fold(c) for c in new}
-        stems = {c: stem(f) for c, f in folded.items()}
-        todo = list({x for x in stems.values() if x not in cache} | {x for x in ",." if x not in cache})
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = array("I", e.ids).tobytes()
-        for c, x in stems.items():
-            if c not in cache:
-                f = folded[c]
-                cache[c] = cache[x] + cache[f[-1]] if len(x) < len(f) else cache[x]
-        for (i, _), chunks in zip(plain, cut, strict=True):
-            out[i] = b"".join(map(cache.__getitem__, chunks))
+            for i, e in zip(other, self.ask([texts[i].decode() for i in other]), strict=True):
+                out[i] = np.array(e, np.uint32)
+        if fast:
+            for i, e in zip(fast, self.gathered([texts[i] for i in fast]), strict=True):
+                out[i] = e
         return out
 
+    def plain(self, texts: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        bad = ~PLAIN[data]
+        # U+0080 to U+00A0, and what lies beyond U+024F
+        bad[1:] |= ((data[:-1] == 0xC2) & (data[1:] < 0xA1)) | ((data[:-1] == 0xC9) & (data[1:] > 0x8F))
+        size = np.array([len(t) for t in texts])
+        ok = ~np.logical_or.reduceat(bad, np.cumsum(size) - size)
+        for k in np.flatnonzero(ok):
+            ok[k] = not any(a in texts[k] for a in self.added)
+        return ok
+
+    def gathered(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        start, end = spans(data, self.kind)
+        if len(self.slot) > CACHE:
+            self.clear()
+        code, key = pd.factorize(hashes(data, start, end))
+        found = key.tolist()
+        slot = np.fromiter((self.slot.get(x, -1) for x in found), np.int64, len(found))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            first = np.empty(len(found), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            slot[new] = self.add(key[new].tolist(), data, start[first[new]], end[first[new]])
+        own = slot[code]
+        at = self.at[own]
+        size = self.at[own + 1] - at
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(at, size) + ragged(size)]
+        # the chunks' ids, cut where the texts end
+        text_end = np.cumsum([len(t) + 1 for t in texts])
+        cut = np.concatenate([[0], upto])[np.searchsorted(start, text_end)]
+        return np.split(ids, cut[:-1])
+
 
 def encoder(path: str) -> Encoder:
     """The worker's own, kept from task to task."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
