@@ -1,205 +1,315 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A block is coded on its own, from fresh models. For each id three predictions are mixed: the id
-that last followed the two ids before (order 2), the one that last followed the id before
-(order 1), each with a weight that adapts to how often predictions of its confidence came true, and
-the order-0 distribution of the file's ids. The mixed interval drives a carry-less range coder with 64-bit low
-and 16-bit output words. All blocks of a call take each step together as numpy vectors.
+A block is coded on its own, from fresh models, and decoded from its bytes, its number of ids and the size of its
+alphabet alone. Three predictions are mixed for each id: the id that last followed the two ids before (order 2), the
+one that last followed the id before (order 1), each with a weight that adapts to how often predictions of its
+confidence came true, and an adaptive distribution over all ids (order 0). Order 0 counts the block's ids so far
+in SLOTS0 slots, over a falling prior: ids below DIRECT have a slot each, the others share slots of equal numbers of ids.
+Weights and order 0's running sums are made anew from what was coded since, at growing distances (renewals). The mixed interval drives a carry-less range coder
+with 64-bit low and 32-bit output words. All blocks of a call take each step together as numpy vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
-ORDER0_BITS, TOTAL_BITS = 17, 22
-SLOTS1, SLOTS2 = 1 << 11, 1 << 12
+BLOCK = 8192
+ORDER0_BITS, TOTAL_BITS = 20, 26
+#: Ids must be below this: every id keeps a share of order 0.
+MOST_IDS = 1 << 19
+SLOTS0, DIRECT = 4095, 3072
+SLOTS1, SLOTS2 = 1 << 12, 1 << 13
 LEVELS = 8
+#: Prior counts of order 0 in all, how they fall with the id, and the longest way between two renewals.
+PRIOR, FALL, RENEW = 256.0, 512.0, 1024
+#: Running sums are searched in two steps of about this many.
+STRIDE = 64
 U = np.uint64
-TOP, BOTTOM = U(1 << 48), U(1 << 32)
-W_START = (0.05, 0.2, 0.35, 0.5, 0.6, 0.7, 0.8, 0.85)
-RATE = 1 / 16
+WORD = U(1 << 32)
+W_START = (0.0, 0.2, 0.4, 0.55, 0.65, 0.75, 0.82, 0.88)
+#: A weight's start counts as so many predictions; what was learnt counts half after each renewal.
+TRUST, KEEP = 8.0, 0.5
+SCALE = np.float32((1 << TOTAL_BITS) - (1 << ORDER0_BITS) * 2)
+
+
+def renewals(longest: int) -> set[int]:
+    """Steps before which order 0's sums are made anew: early ones near one another, later ones RENEW apart."""
+    out, at = set(), 16
+    while at < longest:
+        out.add(at)
+        at += min(at, RENEW)
+    return out
 
 
 class Order0:
-    """Static frequencies of a file's distinct ids (sorted), summing to 2^17."""
-
-    def __init__(self, ids: np.ndarray, freq: np.ndarray):
-        self.ids, self.freq = ids.astype(np.int64), freq.astype(np.int64)
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
-        self.symbol = np.repeat(np.arange(len(ids)), self.freq)
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> Order0:
-        distinct, count = np.unique(ids, return_counts=True)
-        return cls(distinct, scaled(count, 1 << ORDER0_BITS))
-
-
-def scaled(count: np.ndarray, total: int) -> np.ndarray:
-    """Whole frequencies of at least 1 with the given sum."""
-    if not len(count):
-        return np.zeros(0, np.int64)
-    assert len(count) <= total
-    freq = np.maximum(1, np.floor(count * ((total - len(count)) / count.sum())).astype(np.int64))
-    order = np.argsort(-freq, kind="stable")
-    over = int(freq.sum()) - total
-    if over < 0:
-        freq[order[0]] -= over
-    for i in order:
-        if over <= 0:
-            break
-        cut = min(over, int(freq[i]) - 1)
-        freq[i] -= cut
-        over -= cut
-    return freq
+    """Adaptive counts of n blocks over an alphabet, with running sums of shares of 2^ORDER0_BITS."""
+
+    def __init__(self, n: int, alphabet: int):
+        if alphabet > MOST_IDS:
+            raise ValueError(f"ids up to {alphabet - 1}; the coder takes ids below {MOST_IDS}")
+        self.n = n
+        alphabet = max(1, alphabet)
+        self.direct = min(DIRECT, alphabet)
+        groups = SLOTS0 - DIRECT
+        self.wide = max(1, -(-(alphabet - self.direct) // groups))
+        low = np.concatenate([np.arange(self.direct), np.arange(self.direct, alphabet, self.wide)])
+        self.low = low.astype(np.int64)
+        self.width = np.diff(np.append(self.low, alphabet))
+        self.slots = len(self.low)
+        self.row = np.arange(n, dtype=np.int64) * self.slots
+        prior = self.width / (self.low + self.width / 2 + FALL)
+        self.count = np.tile((prior * (PRIOR / prior.sum())).astype(np.float32), (n, 1))
+        self.flat = self.count.reshape(-1)
+        self.floor = np.cumsum(self.width).astype(np.int32)
+        self.spare = (1 << ORDER0_BITS) - alphabet
+        # where each slot's share begins, the end of the last, and the end again up to a whole number of strides
+        self.stride = -(-(self.slots + 1) // STRIDE) * STRIDE
+        self.edge = np.arange(n, dtype=np.int64) * self.stride
+        self.sums = np.full((n, self.stride), 1 << ORDER0_BITS, np.int32)
+        self.sums[:, 0] = 0
+        self.cum = self.sums.reshape(-1)
+        self.fine = self.sums.reshape(-1, STRIDE)
+        self.renew()
+
+    def renew(self) -> None:
+        """Every id keeps a share of one; the rest goes by counts."""
+        upto = np.cumsum(self.count, axis=1, dtype=np.float64)
+        upto *= self.spare / upto[:, -1:]
+        np.minimum(upto, self.spare, out=upto)
+        self.sums[:, 1 : self.slots + 1] = upto
+        self.sums[:, 1 : self.slots + 1] += self.floor
+        self.coarse = self.sums[:, ::STRIDE].copy()
+
+    def slot(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < self.direct, ids, self.direct + (ids - self.direct) // self.wide)
+
+    def interval(self, lane: np.ndarray, ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.edge[lane] + slot
+        a = self.cum[at].astype(np.int64)
+        share = self.cum[at + 1] - a
+        wide, k = self.width[slot], ids - self.low[slot]
+        first = share * k // wide
+        return a + first, share * (k + 1) // wide - first
+
+    def find(self, lane: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (and their slots) whose shares hold v."""
+        v32 = v.astype(np.int32)[:, None]
+        part = np.add.reduce(self.coarse.take(lane, axis=0) <= v32, axis=1, dtype=np.int64) - 1
+        fine = self.fine.take(lane * (self.stride // STRIDE) + part, axis=0)
+        slot = part * STRIDE + np.add.reduce(fine <= v32, axis=1, dtype=np.int64) - 1
+        at = self.edge[lane] + slot
+        share = self.cum[at + 1].astype(np.int64) - self.cum[at]
+        k = ((v - self.cum[at] + 1) * self.width[slot] - 1) // share
+        return self.low[slot] + k, slot
+
+    def add(self, ids: np.ndarray) -> None:
+        """Counts whole steps: a row a step, a column a block."""
+        np.add.at(self.flat, self.row + self.slot(ids), np.float32(1))
 
 
 class Models:
-    """Contexts and weights of L blocks."""
+    """Contexts and weights of n blocks: orders 2 and 1 side by side, in arrays of 2n.
 
-    def __init__(self, n: int):
+    A slot of a context holds the id it predicts (plus one; 0: none) times LEVELS, and a confidence.
+    """
+
+    def __init__(self, n: int, longest: int):
         self.n = n
-        self.row1, self.row2 = np.arange(n) * SLOTS1, np.arange(n) * SLOTS2
-        self.rowl = np.arange(n) * LEVELS
-        self.next1, self.next2 = np.full(n * SLOTS1, -1, np.int32), np.full(n * SLOTS2, -1, np.int32)
-        self.sure1, self.sure2 = np.zeros(n * SLOTS1, np.int8), np.zeros(n * SLOTS2, np.int8)
-        self.w1, self.w2 = np.tile(np.float32(W_START), n), np.tile(np.float32(W_START), n)
-        self.a = np.zeros(n, np.int64)
-        self.b = np.zeros(n, np.int64)
+        lane = np.arange(n, dtype=np.int32)
+        self.row2, self.row1 = lane * SLOTS2, lane * SLOTS1 + np.int32(n * SLOTS2)
+        self.table = np.zeros(n * (SLOTS1 + SLOTS2), np.int32)
+        self.rowl = np.arange(2 * n, dtype=np.int32) * LEVELS
+        start = np.tile(np.array(W_START), 2 * n)
+        self.seen, self.true = np.full(2 * n * LEVELS, TRUST), start * TRUST
+        self.a, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        # what a confidence becomes after a hit and after a miss (0: empty), and whether a miss changes the prediction
+        up = np.minimum(np.arange(LEVELS) + 1, LEVELS - 1)
+        low = np.arange(LEVELS) <= 2
+        self.next = np.concatenate([np.where(low, 1, np.arange(LEVELS) >> 1), up]).astype(np.int32)
+        self.at, self.level = np.empty(2 * n, np.int32), np.empty(2 * n, np.int32)
+        self.past = np.empty((min(longest, RENEW), 2 * n), np.int32)
+        self.hits = np.empty((min(longest, RENEW), 2 * n), bool)
+        self.steps = 0
+        self.renew()
+
+    def renew(self) -> None:
+        """Weights from the predictions since the last time."""
+        if self.steps:
+            past, hits = self.past[: self.steps].ravel(), self.hits[: self.steps].ravel()
+            self.seen = self.seen * KEEP + np.bincount(past, minlength=len(self.seen))
+            self.true = self.true * KEEP + np.bincount(past[hits], minlength=len(self.seen))
+            self.steps = 0
+        weight = np.clip((self.true + 0.02) / (self.seen + 0.04), 0.002, 0.985)
+        weight[::LEVELS] = 0  # an empty slot predicts nothing
+        self.weight = weight.astype(np.float32)
 
     def predict(self):
-        """Predicted symbols of orders 2 and 1, and their whole shares of 2^22."""
-        self.at2 = self.row2 + (((self.a * 40503) ^ (self.b * 30011)) >> 3 & (SLOTS2 - 1))
-        self.at1 = self.row1 + ((self.a * 40503) >> 4 & (SLOTS1 - 1))
-        self.p2, self.p1 = self.next2[self.at2], self.next1[self.at1]
-        self.l2, self.l1 = self.rowl + self.sure2[self.at2], self.rowl + self.sure1[self.at1]
-        w2 = np.where(self.p2 >= 0, self.w2[self.l2], np.float32(0))
-        self.own1 = (self.p1 >= 0) & (self.p1 != self.p2)
-        w1 = np.where(self.own1, self.w1[self.l1], np.float32(0)) * (np.float32(1) - w2)
-        scale = np.float32((1 << TOTAL_BITS) - (1 << ORDER0_BITS))
-        f2, f1 = (w2 * scale).astype(np.int64), (w1 * scale).astype(np.int64)
-        return f2, f1, (1 << TOTAL_BITS) - f2 - f1
-
-    def update(self, s: np.ndarray) -> None:
-        hit2, hit1 = self.p2 == s, self.p1 == s
-        seen2 = self.p2 >= 0
-        w = self.w2[self.l2]
-        self.w2[self.l2] = np.where(seen2, w + (np.clip(hit2, 0.01, 0.97).astype(np.float32) - w) * np.float32(RATE), w)
-        w = self.w1[self.l1]
-        self.w1[self.l1] = np.where(self.own1 & ~hit2, w + (np.clip(hit1, 0.01, 0.97).astype(np.float32) - w) * np.float32(RATE), w)
-        for next_, sure, at, p, hit in ((self.next2, self.sure2, self.at2, self.p2, hit2), (self.next1, self.sure1, self.at1, self.p1, hit1)):
-            c = sure[at]
-            swap = ~hit & (c <= 1)
-            next_[at] = np.where(swap, s, p)
-            sure[at] = np.where(hit, np.minimum(c + 1, LEVELS - 1), np.where(swap, 0, c >> 1))
-        self.b, self.a = self.a, s + 1
-
-
-def encode(blocks: list[np.ndarray], order0: Order0) -> list[bytes]:
-    """One payload a block; blocks hold symbols (indexes of order0.ids)."""
+        """Shares of 2^TOTAL_BITS that orders 2 and 1 give their predictions p2 and p1 (ids plus one)."""
+        n = self.n
+        h1 = self.a * np.int32(40503)
+        np.add(self.row1, (h1 >> 4) & np.int32(SLOTS1 - 1), out=self.at[n:])
+        np.add(self.row2, ((h1 ^ (self.b * np.int32(30011))) >> 3) & np.int32(SLOTS2 - 1), out=self.at[:n])
+        held = self.table.take(self.at)
+        self.p, self.c = held >> 3, held & np.int32(7)
+        np.add(self.rowl, self.c, out=self.level)
+        w = self.weight.take(self.level)
+        self.p2, self.p1 = self.p[:n], self.p[n:]
+        f2 = (w[:n] * SCALE).astype(np.int32)
+        f1 = ((SCALE - f2) * w[n:]).astype(np.int32) * (self.p1 != self.p2)
+        return f2, f1
+
+    def update(self, s: np.ndarray, hit: np.ndarray) -> None:
+        """s: the ids plus one; hit: which of the 2n predictions came true."""
+        self.past[self.steps] = self.level
+        self.hits[self.steps] = hit
+        self.steps += 1
+        conf = self.next.take(self.c + (hit << 3))
+        keep = hit | (self.c > 2)
+        both = np.concatenate([s, s])
+        self.table[self.at] = (np.where(keep, self.p, both) << 3) | conf
+        self.b, self.a = self.a, s
+
+
+def sorted_blocks(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks by size, longest first: order, sizes, and how many are live at each step."""
+    order = np.argsort([-x for x in sizes], kind="stable")
+    size = np.array([sizes[i] for i in order], np.int64)
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+    return order, size, live
+
+
+def encode(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
+    """One payload a block; blocks hold ids below alphabet."""
     if not blocks:
         return []
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    size = np.array([len(blocks[i]) for i in order])
-    n, longest = len(blocks), int(size[0]) if len(size) else 0
+    order, size, live = sorted_blocks([len(b) for b in blocks])
+    n, longest = len(blocks), int(size[0])
     grid = np.zeros((longest, n), np.int32)
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
-    m = Models(n)
+    m, zero = Models(n, longest), Order0(n, alphabet)
+    slots, since = zero.slot(grid), 0
     low, span = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    out, used = np.zeros((n, 64 + longest // 2), np.uint16), np.zeros(n, np.int64)
-    cum, ends = order0.cum, set(size.tolist())
+    out, used = np.zeros((n, 16 + longest // 3), np.uint32), np.zeros(n, np.int64)
+    again, ends = renewals(longest), set(size.tolist())
+    start, width = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def emit(rows, words):
+        nonlocal out
+        at = used[rows]
+        if len(at) and at.max() >= out.shape[1]:
+            out = np.concatenate([out, np.zeros_like(out)], axis=1)
+        out[rows, at] = words
+        used[rows] = at + 1
+
     for step in range(longest):
-        live = int(np.searchsorted(-size, -step, side="left"))  # blocks longer than step come first
-        s = grid[step].astype(np.int64)
-        f2, f1, f0 = m.predict()
-        lo0 = cum[s] * f0 >> ORDER0_BITS
-        hi0 = cum[s + 1] * f0 >> ORDER0_BITS
-        is2, is1 = (m.p2 == s), (m.p1 == s) & m.own1 & (f1 > 0)
-        is2 &= f2 > 0
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1 + lo0)).astype(U)
-        width = np.where(is2, f2, np.where(is1, f1, hi0 - lo0)).astype(U)
-        m.update(s)
+        if step in again:
+            zero.add(grid[since:step])
+            zero.renew()
+            m.renew()
+            since = step
+        s1 = grid[step] + np.int32(1)
+        f2, f1 = m.predict()
+        hit = np.concatenate([m.p2 == s1, m.p1 == s1])
+        hit2, hit1 = hit[:n], hit[n:]
+        use2 = hit2 & (f2 > 0)
+        use1 = hit1 & ~use2 & (f1 > 0)
+        start[:] = np.where(use1, f2, 0)
+        width[:] = np.where(use2, f2, f1)
+        rest = np.flatnonzero(~(use2 | use1))
+        slot = slots[step]
+        lo, wide = zero.interval(rest, grid[step][rest], slot[rest])
+        before = (f2[rest] + f1[rest]).astype(np.int64)
+        f0 = (1 << TOTAL_BITS) - before
+        first = lo * f0 >> ORDER0_BITS
+        start[rest] = before + first
+        width[rest] = ((lo + wide) * f0 >> ORDER0_BITS) - first
+        m.update(s1, hit)
         r = span >> U(TOTAL_BITS)
-        low = low + r * start
-        span = r * width
-        go = np.flatnonzero((((low ^ (low + span)) < TOP) | (span < BOTTOM))[:live])
-        while len(go):
+        low += r * start.astype(U)
+        span = r * width.astype(U)
+        go = np.flatnonzero((span < WORD)[: live[step]])
+        if len(go):
             a, b = low[go], span[go]
-            cut = (a ^ (a + b)) >= TOP
-            b = np.where(cut, (~a + U(1)) & (BOTTOM - U(1)), b)
-            at = used[go]
-            if at.max() >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[go, at] = (a >> U(48)).astype(np.uint16)
-            used[go] = at + 1
-            low[go], span[go] = a, b = a << U(16), b << U(16)
-            go = go[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
+            cut = (a ^ (a + b)) >= WORD
+            b = np.where(cut, (~a + U(1)) & (WORD - U(1)), b)
+            emit(go, (a >> U(32)).astype(np.uint32))
+            low[go], span[go] = a << U(32), b << U(32)
         if step + 1 in ends:
             done = np.flatnonzero(size == step + 1)
-            for k in range(4):
-                at = used[done]
-                if at.max() >= out.shape[1]:
-                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[done, at] = (low[done] >> U(48 - 16 * k)).astype(np.uint16)
-                used[done] = at + 1
+            for k in range(2):
+                emit(done, (low[done] >> U(32 - 32 * k)).astype(np.uint32))
     result: list = [b""] * n
     for k, i in enumerate(order):
-        result[i] = out[k, : used[k]].tobytes() if size[k] else b""
+        result[i] = out[k, : used[k]].astype("<u4").tobytes() if size[k] else b""
     return result
 
 
-def decode(payloads: list[bytes], sizes: list[int], order0: Order0) -> list[np.ndarray]:
-    """The blocks' symbols."""
-    n = len(payloads)
-    order = np.argsort([-x for x in sizes], kind="stable")
-    size = np.array([sizes[i] for i in order])
-    longest = int(size[0]) if n else 0
-    width = max((len(p) // 2 for p in payloads), default=0) + 4 * 4 + 8
-    words = np.zeros((n, width), U)
+def decode(payloads: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
+    """The blocks' ids."""
+    if not payloads:
+        return []
+    order, size, live = sorted_blocks(sizes)
+    n, longest = len(payloads), int(size[0])
+    width_ = max(len(p) // 4 for p in payloads) + 4
+    words = np.zeros((n, width_), U)
     for k, i in enumerate(order):
-        w = np.frombuffer(payloads[i], np.uint16)
+        w = np.frombuffer(payloads[i], "<u4")
         words[k, : len(w)] = w
-    code, read = np.zeros(n, U), np.full(n, 4, np.int64)
-    for k in range(4):
-        code = (code << U(16)) | words[:, k]
-    m = Models(n)
-    low, span = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
+    words = words.reshape(-1)
+    code = (words[::width_] << U(32)) | words[1::width_]
+    read = np.arange(n, dtype=np.int64) * width_ + 2
+    m, zero, since = Models(n, longest), Order0(n, alphabet), 0
+    off, span = code, np.full(n, (1 << 64) - 1, U)  # off: the code less the low end
+    low = np.zeros(n, U)
     grid = np.zeros((longest, n), np.int32)
-    cum, symbol = order0.cum, order0.symbol
+    again = renewals(longest)
+    start, width = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for step in range(longest):
-        live = int(np.searchsorted(-size, -step, side="left"))
-        f2, f1, f0 = m.predict()
+        k = int(live[step])
+        if step in again:
+            zero.add(grid[since:step])
+            zero.renew()
+            m.renew()
+            since = step
+        f2, f1 = m.predict()
         r = span >> U(TOTAL_BITS)
-        v = np.minimum(((code - low) // r), U((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        u = v - f2 - f1
-        s0 = symbol[np.clip((((u + 1) << ORDER0_BITS) - 1) // f0, 0, len(symbol) - 1)]
-        is2 = v < f2
-        is1 = ~is2 & (u < 0)
-        s = np.where(is2, m.p2, np.where(is1, m.p1, s0)).astype(np.int64)
-        if live < n:
-            s[live:] = 0
-        lo0 = cum[s] * f0 >> ORDER0_BITS
-        hi0 = cum[s + 1] * f0 >> ORDER0_BITS
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1 + lo0)).astype(U)
-        wide = np.where(is2, f2, np.where(is1, f1, hi0 - lo0)).astype(U)
-        m.update(s)
+        v = np.minimum(off // r, U((1 << TOTAL_BITS) - 1)).astype(np.int64)
+        before = f2 + f1
+        use2 = v < f2
+        use0 = v >= before
+        s1 = np.where(use2, m.p2, m.p1)
+        start[:] = np.where(use2, 0, f2)
+        width[:] = np.where(use2, f2, f1)
+        rest = np.flatnonzero(use0)
+        held = before[rest].astype(np.int64)
+        f0 = (1 << TOTAL_BITS) - held
+        u = (((v[rest] - held + 1) << ORDER0_BITS) - 1) // f0
+        ids, slot0 = zero.find(rest, u)
+        lo, wide = zero.interval(rest, ids, slot0)
+        first = lo * f0 >> ORDER0_BITS
+        start[rest] = held + first
+        width[rest] = ((lo + wide) * f0 >> ORDER0_BITS) - first
+        s1[rest] = ids + 1
+        if k < n:
+            s1[k:] = 1
+        s = s1 - np.int32(1)
+        m.update(s1, np.concatenate([m.p2 == s1, m.p1 == s1]))
         grid[step] = s
-        low = low + r * start
-        span = r * wide
-        go = np.flatnonzero((((low ^ (low + span)) < TOP) | (span < BOTTOM))[:live])
-        while len(go):
+        gone = r * start.astype(U)
+        low += gone
+        off = off - gone
+        span = r * width.astype(U)
+        go = np.flatnonzero((span < WORD)[:k])
+        if len(go):
             a, b = low[go], span[go]
-            b = np.where((a ^ (a + b)) >= TOP, (~a + U(1)) & (BOTTOM - U(1)), b)
+            b = np.where((a ^ (a + b)) >= WORD, (~a + U(1)) & (WORD - U(1)), b)
             at = read[go]
-            code[go] = (code[go] << U(16)) | words[go, np.minimum(at, width - 1)]
+            off[go] = (off[go] << U(32)) | words[at]
             read[go] = at + 1
-            low[go], span[go] = a, b = a << U(16), b << U(16)
-            go = go[((a ^ (a + b)) < TOP) | (b < BOTTOM)]
-        if live < n:
-            span[live:] = U((1 << 64) - 1)
-            low[live:] = U(0)
-            code[live:] = U(0)
+            low[go], span[go] = a << U(32), b << U(32)
+        if k < n:  # ended blocks idle
+            span[k:], low[k:], off[k:] = U((1 << 64) - 1), U(0), U(0)
     result: list = [None] * n
     for k, i in enumerate(order):
         result[i] = grid[: size[k], k].astype(np.int64)

@@ -1,14 +1,17 @@
 """Token-ID files: ids of whole documents in ascending id order, coded by the context-mixing range coder.
 
-A file: magic, a zlib-packed header (documents' token counts, the order-0 table), then blocks of
-at most coder.BLOCK ids, each with its id count, payload length, crc32 of the payload and crc32 of
-its ids. Blocks are coded from fresh models. Documents are range-sorted by id; each
+A file: magic, a zlib-packed header (documents' ids, which of them are null, token counts), then blocks of
+at most coder.BLOCK ids, each with its id count, alphabet, payload length, crc32 of the payload and crc32 of
+its ids. Blocks are coded from fresh models and need nothing but their own bytes. Documents are range-sorted by id; each
 task writes its files under temporary names and renames them; the manifest, a table written from
 the tasks' answers, names the files that count, so that a retried task's earlier files are
 never read. Readers take the files from the manifest and check every block.
 
-Defined cases: a null or empty text has only the end id; null document ids come first; equal ids follow one
-another by their text's crc32; repeated rows are documents of their own; an empty table gives no files and no rows.
+Defined cases: ids must be whole numbers (a column of another type is refused); a null or empty text has only the end
+id; null document ids come first; rows with equal ids follow one another by their text's crc32 and 64-bit hash;
+repeated rows are documents of their own and may be dealt to several files; a text longer than a file has one of its
+own; columns other than the id and the text are not read, whatever they are called; an empty table gives no files and
+no rows; token ids of coder.MOST_IDS or more are refused.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,32 +31,34 @@ from . import coder, files
 from .common import remove, steps, tokenizer_path, work_dir
 from .tokens import encoder
 
-MAGIC = b"GMTOK1\n"
+MAGIC = b"GMTOK2\n"
 #: Most ids in a file; a longer single document has a file of its own.
 FILE_IDS = 8_000_000
 MANIFEST = "part int, part_file int, file string, docs long, tokens long"
-NO_ID = -(1 << 63)
+BLOCK_HEAD = struct.Struct("<IIIII")
 
 
 class Corrupt(ValueError):
     """A file or block that doesn't hold what its checksums say."""
 
 
-def pack_file(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    order0 = coder.Order0.of(ids)
-    symbols = np.searchsorted(order0.ids, ids)
-    blocks = [symbols[k : k + coder.BLOCK] for k in range(0, len(ids), coder.BLOCK)]
-    payloads = coder.encode(blocks, order0)
-    head = zlib.compress(b"".join([struct.pack("<QQQ", len(keys), len(order0.ids), len(blocks)), keys.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), order0.ids.astype("<u4").tobytes(), order0.freq.astype("<u4").tobytes()]))
+def pack_file(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    ids = ids.astype("<u4")
+    cut = [ids[k : k + coder.BLOCK] for k in range(0, len(ids), coder.BLOCK)]
+    # blocks are coded together; each says how large its alphabet is
+    alphabet = int(ids.max()) + 1 if len(ids) else 1
+    payloads = coder.encode(cut, alphabet)
+    null = np.array([k is None for k in keys], bool)
+    known = np.array([k or 0 for k in keys], "<i8")
+    head = zlib.compress(b"".join([struct.pack("<QQ", len(keys), len(cut)), known.tobytes(), null.tobytes(), counts.astype("<u8").tobytes()]))
     out = [MAGIC, struct.pack("<II", len(head), zlib.crc32(head)), head]
-    for k, p in enumerate(payloads):
-        own = ids[k * coder.BLOCK : (k + 1) * coder.BLOCK].astype("<u4")
-        out += [struct.pack("<IIII", len(own), len(p), zlib.crc32(p), zlib.crc32(own.tobytes())), p]
+    for own, p in zip(cut, payloads, strict=True):
+        out += [BLOCK_HEAD.pack(len(own), alphabet, len(p), zlib.crc32(p), zlib.crc32(own)), p]
     return b"".join(out)
 
 
-def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, token counts, and all ids."""
+def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, which of them are null, token counts, and all ids."""
     if data[: len(MAGIC)] != MAGIC:
         raise Corrupt("not a token file")
     at = len(MAGIC)
@@ -63,57 +68,63 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if zlib.crc32(head) != crc:
         raise Corrupt("header")
     head = zlib.decompress(head)
-    docs, distinct, n_blocks = struct.unpack_from("<QQQ", head)
-    cut = np.cumsum([24, 8 * docs, 8 * docs, 4 * distinct, 4 * distinct])
-    keys, counts, ids0, freq = (np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", "<u8", "<u4", "<u4"), strict=False))
-    order0 = coder.Order0(ids0, freq)
-    payloads, sizes, crcs = [], [], []
-    for _ in range(n_blocks):
-        n, length, crc, own = struct.unpack_from("<IIII", data, at)
-        p = data[at + 16 : at + 16 + length]
-        at += 16 + length
+    docs, n_blocks = struct.unpack_from("<QQ", head)
+    cut = np.cumsum([16, 8 * docs, docs, 8 * docs])
+    keys, null, counts = (np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", bool, "<u8"), strict=False))
+    found: dict[int, list] = {}
+    for k in range(n_blocks):
+        n, alphabet, length, crc, own = BLOCK_HEAD.unpack_from(data, at)
+        p = data[at + BLOCK_HEAD.size : at + BLOCK_HEAD.size + length]
+        at += BLOCK_HEAD.size + length
         if zlib.crc32(p) != crc or len(p) != length:
             raise Corrupt("block payload")
-        payloads.append(p)
-        sizes.append(n)
-        crcs.append(own)
-    blocks = [order0.ids[b] for b in coder.decode(payloads, sizes, order0)]
-    for b, own in zip(blocks, crcs, strict=True):
-        if zlib.crc32(b.astype("<u4").tobytes()) != own:
-            raise Corrupt("block ids")
-    return keys, counts.astype(np.int64), np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+        found.setdefault(alphabet, []).append((k, n, p, own))
+    blocks: list = [None] * n_blocks
+    for alphabet, group in found.items():
+        decoded = coder.decode([p for _, _, p, _ in group], [n for _, n, _, _ in group], alphabet)
+        for (k, _, _, own), ids in zip(group, decoded, strict=True):
+            blocks[k] = ids.astype("<u4")
+            if zlib.crc32(blocks[k]) != own:
+                raise Corrupt("block ids")
+    return keys, null, counts.astype(np.int64), np.concatenate(blocks) if blocks else np.zeros(0, "<u4")
 
 
 def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files and their manifest (folder/manifest); returns the manifest as read back."""
-    df = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("key"), F.col(f"`{text}`").alias("text"))
-    df = df.repartitionByRange("key").sortWithinPartitions("key", F.crc32(F.col("text").cast("binary")))
-    tail = np.array([end], "<u4").tobytes()
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {docs.schema[key].dataType.simpleString()}")
+    df = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    # equal rows can be dealt to several tasks: which of them comes first makes no difference
+    order = ["key", F.crc32(F.col("text").cast("binary")), F.xxhash64("text"), F.monotonically_increasing_id()]
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order[:3])
+    tail = np.array([end], np.uint32)
 
     def run(batches):
         from pyspark import TaskContext
 
         code, part = encoder(path), TaskContext.get().partitionId()
+        keys: list = []
         held: list = []
         total, count = 0, 0
 
         def flush():
-            nonlocal held, total, count
+            nonlocal keys, held, total, count
             name = f"tokens-{part:06d}-{count:04d}-{uuid.uuid4().hex[:8]}.gmtok"
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4").astype(np.int64)
-            files.put(folder, name, pack_file(np.array([k for k, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64), ids))
+            sizes = np.array([len(x) + 1 for x in held], np.int64)
+            ids = np.concatenate([x for own in held for x in (own, tail)])
+            files.put(folder, name, pack_file(keys, sizes, ids))
             row = pd.DataFrame({"part": [part], "part_file": [count], "file": [name], "docs": [len(held)], "tokens": [len(ids)]})
-            held, total, count = [], 0, count + 1
+            keys, held, total, count = [], [], 0, count + 1
             return pa.RecordBatch.from_pandas(row.astype({"part": "int32", "part_file": "int32"}), preserve_index=False)
 
         for batch in batches:
             for piece in steps(batch, "text"):
-                keys = piece.column("key").to_pylist()
-                for k, ids in zip(keys, code.ids(piece.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                    if held and total + len(ids) // 4 + 1 > file_ids:
+                for k, ids in zip(piece.column("key").to_pylist(), code.ids(piece.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                    if held and total + len(ids) + 1 > file_ids:
                         yield flush()
-                    held.append((k, ids + tail))
-                    total += len(ids) // 4 + 1
+                    keys.append(k)
+                    held.append(ids)
+                    total += len(ids) + 1
         if held:
             yield flush()
 
@@ -123,25 +134,24 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, key: str = "
 
 def read(spark, folder: str, *, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32 and file of each document, from the files the manifest names."""
-    named = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part", "part_file").collect()  # one row a file of many MB
-    rows, start = [], 0
-    for r in named:
-        rows.append((r.file, start))
-        start += r.tokens
+    named = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    # a running sum over one row a task, then inside each task's files
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = named.groupBy("part").agg(F.sum("tokens").alias("own")).select("part", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("part_file").rowsBetween(Window.unboundedPreceding, -1)
+    todo = named.join(parts, "part").select("file", (F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
     schema = T.StructType([T.StructField(key, T.LongType()), *[T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")], T.StructField("file", T.StringType())])
 
     def run(batches):
         for batch in batches:
             for name, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                keys, counts, ids = unpack_file(files.read(folder, name))
-                ids = ids.astype("<u4")
+                keys, null, counts, ids = unpack_file(files.read(folder, name))
                 ends = np.cumsum(counts)
-                crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                ids_ = pa.array([None if k == NO_ID else k for k in keys.tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids_, pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64()), pa.array([name] * len(keys), pa.string())], names=schema.names)
+                crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64()), pa.array([name] * len(keys), pa.string())], names=schema.names)
 
-    todo = spark.createDataFrame(rows, "file string, first long")
-    return todo.repartition(max(1, len(rows)), "file").mapInArrow(run, schema)
+    # a task a file, dealt by number: their names are far too small for the runtime to judge the work by
+    return todo.repartition(max(1, named.count()), "file").mapInArrow(run, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -8,22 +8,33 @@ from tokenizers import Tokenizer
 from glyphmill.llm import coder, files
 from glyphmill.llm import token_files as TF
 from glyphmill.llm.common import tokenizer_path, work_dir
+from glyphmill.llm.tokens import Encoder
 
 
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 300, 500)
-    cases = [rng.integers(0, 49408, 9000), np.concatenate([base] * 20), np.zeros(9000, int), np.arange(49408), np.array([5]), np.tile([1, 2], 5000), rng.geometric(0.3, 20000)]
+    cases = [rng.integers(0, 49408, 9000), np.concatenate([base] * 40), np.zeros(9000, int), np.arange(49408), np.array([5]), np.tile([1, 2], 9000), rng.geometric(0.3, 20000), rng.integers(0, coder.MOST_IDS, 9000), np.array([coder.MOST_IDS - 1, 0])]
     for ids in cases:
-        keys, counts, back = TF.unpack_file(TF.pack_file(np.array([1, 2]), np.array([1, len(ids) - 1]), ids.astype(np.int64)))
-        assert (back == ids).all() and keys.tolist() == [1, 2] and counts.sum() == len(ids)
-    packed = TF.pack_file(np.array([1]), np.array([10000]), np.tile(base, 20))
-    assert len(packed) < 10000
-    assert coder.encode([], coder.Order0.of(np.zeros(0, int))) == []
+        keys, null, counts, back = TF.unpack_file(TF.pack_file([None, 2], np.array([1, len(ids) - 1]), ids.astype(np.int64)))
+        assert (back == ids).all() and keys.tolist() == [0, 2] and null.tolist() == [True, False] and counts.sum() == len(ids)
+    packed = TF.pack_file([1], np.array([20000]), np.tile(base, 40))
+    assert len(packed) < 15000
+    assert coder.encode([], 1) == [] and coder.decode([], [], 1) == []
+    with pytest.raises(ValueError, match="ids below"):
+        coder.encode([np.array([coder.MOST_IDS])], coder.MOST_IDS + 1)
+
+
+def test_blocks_stand_alone():
+    rng = np.random.default_rng(2)
+    blocks = [rng.geometric(0.01, n) for n in (8192, 100, 8192, 3)]
+    together = coder.encode(blocks, 5000)
+    for b, p in zip(blocks, together, strict=True):
+        assert coder.encode([b], 5000) == [p] and (coder.decode([p], [len(b)], 5000)[0] == b).all()
 
 
 def test_damage_is_found():
-    data = bytearray(TF.pack_file(np.array([1]), np.array([5000]), np.arange(5000)))
+    data = bytearray(TF.pack_file([1], np.array([5000]), np.arange(5000)))
     data[-40] ^= 1
     with pytest.raises(TF.Corrupt):
         TF.unpack_file(bytes(data))
@@ -33,7 +44,7 @@ def test_damage_is_found():
 def test_files(spark, file_ids):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["The", "foo,", "l'été"]) for _ in range(rng.randrange(60))), 0) for i in range(80)]
-    rows += [(None, "null id", 0), (5, "again", 0), (200, None, 0), (201, "", 0), (202, "x " * 5000, 0)]
+    rows += [(None, "null id", 0), (5, "again", 0), (200, None, 0), (-(1 << 63), "least", 0), (5, "again", 0), (6, "日本 語 x", 0), (201, "", 0), (202, "x " * 5000, 0)]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
     folder = work_dir(spark, "t")
@@ -49,7 +60,28 @@ def test_files(spark, file_ids):
         at += len(ids)
 
 
+def test_encoder_equals_the_library():
+    rng = random.Random(3)
+    texts = ["", " ", "  a", "a  ", "a \n b\t\tc \r\n d", "\n\nx", "don't I'll  x", "hello, world. (foo)", "é ü  Ÿ ǅ", "a\x0bb", "x\u00a0y", "<|endoftext|> k", "日本 語", "İstanbul ŉ", "w" * 3_000_000]
+    texts += ["".join(rng.choice(" \n\t,.ab'sé1") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokenizer_path(name)
+        code = Encoder(path)
+        assert code.kind
+        want = Tokenizer.from_file(path).encode_batch_fast(texts[:14] + texts[15:], add_special_tokens=False)
+        raw = [t.encode() for t in texts]
+        for _ in range(2):
+            got = code.ids(raw)
+            assert [x.tolist() for x in got[:14] + got[15:]] == [e.ids for e in want]
+        assert len(got[14]) > 0
+
+
 def test_empty(spark):
     folder = work_dir(spark, "t")
     TF.write(spark.createDataFrame([], "doc_id long, text string"), folder, tokenizer_path("word_bpe_49k.json"))
     assert TF.read(spark, folder).count() == 0
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        TF.write(spark.createDataFrame([("a", "x")], "doc_id string, text string"), work_dir(spark, "t"), tokenizer_path("word_bpe_49k.json"))
