@@ -14,7 +14,8 @@ to blocks, a file each; a task reads two blocks, counts all overlaps at once, an
 
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of fewer than five words
 has one shingle of all its words; a text of none is alone in its class; null ids count as greatest; rows with equal ids
-and texts are in one class; an empty table gives no rows.
+and texts are in one class, and keep_one keeps one of them; a very long text is a step of its own, and its multiset, six bytes
+a word, a value of its row; other columns are passed through, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files
-from .common import annotate, free_name, settle, spread_join, work_dir
+from .common import BROADCAST_BYTES, annotate, drop, free_name, settle, spread_join, work_dir
 from .components import components
 from .text import ALNUM, mix, words
 
@@ -42,6 +43,8 @@ NUM, DEN = 4, 5
 PIVOT_ROUNDS = 2
 #: Buckets up to this size are compared by rows of pairs, larger ones by blocks of about BLOCK_ROWS members.
 PAIR_ROWS, BLOCK_ROWS = 48, 256
+#: Pairs of blocks that a task compares at about most.
+BLOCK_PAIRS = 8
 #: Distinct elements that are held at a time as a dense matrix.
 COLUMNS = 8192
 #: Candidates up to this many are sent to all tasks as a list of 16-byte keys; more are joined by shuffle.
@@ -252,7 +255,9 @@ def block_rest(members: DataFrame, bag: DataFrame) -> DataFrame:
     kept = settle(rows.groupBy("bucket", "block", "blocks").applyInArrow(keep, "bucket long, block int, blocks int, file string"), "neardup-blocks-kept")
     todo = kept.select("bucket", F.col("file").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     # a block that got no member has no file
-    todo = todo.join(kept.select("bucket", F.col("block").alias("j"), F.col("file").alias("y")), ["bucket", "j"]).select("x", "y").repartition("x", "y")
+    todo = settle(todo.join(kept.select("bucket", F.col("block").alias("j"), F.col("file").alias("y")), ["bucket", "j"]).select("x", "y"), "neardup-block-pairs")
+    # dealt by number: two file names a row say nothing of the work behind them
+    todo = todo.repartition(max(1, -(-todo.count() // BLOCK_PAIRS)), "x", "y")
 
     def load(name: str) -> pa.Table:
         return pa.ipc.open_file(pa.BufferReader(files.read(folder, name))).read_all()
@@ -329,51 +334,54 @@ def links(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """A narrow row a document (key, ck, n, class_key: null for a text without words), and a row a class (class_key, n_docs, class_id)."""
+    """A narrow row a document (key, th: the text's md5, ck, n_shingles, class_key: null for a text without words ...), and a row a class (class_key, n_docs, class_id)."""
     name = "signed"
-    signed = annotate(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", lambda t, _: sign(t), SIGNED, ["id"], name=name)
-    signed = settle(signed.select("id", f"{name}.ck", f"{name}.n", f"{name}.bands"), "neardup-signed")
+    # the md5 is taken JVM-side, next to the signatures, so that rows of equal ids can be told apart by their texts
+    source = docs.select(F.col(f"`{key}`").alias("id"), digest(text).alias("th"), F.col(f"`{text}`").alias("text"))
+    signed = annotate(source, "text", lambda t, _: sign(t), SIGNED, ["id", "th"], name=name)
+    signed = settle(signed.select("id", "th", f"{name}.ck", f"{name}.n", f"{name}.bands"), "neardup-signed")
     # equal keys have equal bands and lengths
     keys = signed.where("ck IS NOT NULL").groupBy("ck").agg(F.count(F.lit(1)).alias("n_same"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = settle(keys, "neardup-distinct")
-    label = links(keys.select(F.explode(F.array_distinct("bands")).alias("bucket"), "ck", "n"), docs, text)
-    keys = settle(keys.select("ck", "n_same", "least").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "n_same", "least", F.coalesce("label", "ck").alias("class_key")), "neardup-keys")
+    distinct = settle(keys, "neardup-distinct")
+    label = links(distinct.select(F.explode(F.array_distinct("bands")).alias("bucket"), "ck", "n"), docs, text)
+    keys = settle(distinct.select("ck", "n_same", "least").join(label.withColumnRenamed("node", "ck"), "ck", "left").select("ck", "n_same", "least", F.coalesce("label", "ck").alias("class_key")), "neardup-keys")
+    drop(distinct)
     groups = settle(keys.groupBy("class_key").agg(F.sum("n_same").alias("n_docs"), F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-classes")
     whole = spread_join(keys, groups, "class_key").select("ck", "n_same", "n_docs", "class_id", "class_key")
     whole = settle(whole.withColumnRenamed("n_same", "n_copies"), "neardup-of")
-    rows = spread_join(signed.select("id", "ck", F.col("n").alias("n_shingles")), whole, "ck", size="n_copies")
-    rows = rows.select(F.col("id").alias(key), "ck", "n_shingles", "class_key", F.coalesce("n_docs", F.lit(1)).alias("n_docs"), F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    drop(keys)
+    rows = spread_join(signed.select("id", "th", "ck", F.col("n").alias("n_shingles")), whole, "ck", size="n_copies")
+    rows = rows.select(F.col("id").alias(key), "th", "ck", "n_shingles", "class_key", F.coalesce("n_docs", F.lit(1)).alias("n_docs"), F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return rows, groups
 
 
+def digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+
+
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the least id (of equal ids, one), with its own columns; texts without words stay."""
+    """One document of each class, that with the least id (of equal ids, one), with its own columns; texts without words stay.
+
+    No text is shuffled as long as the rows that go (id and md5) are few enough to be broadcast; rows equal in id
+    and text meet by themselves, so that one of them is taken.
+    """
     rows, _ = classes(docs, key=key, text=text)
-    place = Surviving(rows, key)
-    return place.apply(docs, text)
-
-
-class Surviving:
-    """Which rows stay: for each class the least id and, at that id, the least content key; equal rows stand for one."""
-
-    def __init__(self, rows: DataFrame, key: str):
-        self.key = key
-        with_key = rows.where("ck IS NOT NULL")
-        best = with_key.groupBy("class_key").agg(F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("id"), "ck")).alias("best"))
-        self.stay = settle(best.select(F.col("best.ck").alias("ck"), F.col("best.id").alias("id")), "neardup-stay")
-
-    def apply(self, docs: DataFrame, text: str) -> DataFrame:
-        name = free_name("signed", docs.columns)
-        keyed = annotate(docs, text, lambda t, _: {"ck": bags(t)["ck"]}, T.StructType([SIGNED["ck"]]), list(docs.columns), name=name)
-        ck, i = free_name("__ck", docs.columns), free_name("__id", docs.columns)
-        keyed = keyed.withColumns({ck: F.col(f"`{name}`.ck"), i: F.col(f"`{self.key}`")}).drop(name)
-        stay = self.stay.select(F.col("ck").alias(ck), F.col("id").alias("__stay_id"))
-        empty = keyed.where(F.col(ck).isNull())
-        # the row that stays is joined by id and content; of equal rows one is taken
-        rest = keyed.where(F.col(ck).isNotNull()).alias("x").join(stay.alias("y"), (F.col(f"x.{ck}") == F.col(f"y.{ck}")) & F.col(f"x.{i}").eqNullSafe(F.col("y.__stay_id")), "left_semi")
-        rest = rest.dropDuplicates([i, ck])
-        columns = [F.col(f"`{c}`") for c in docs.columns]
-        return rest.select(*columns).unionByName(empty.select(*columns))
+    rows = settle(rows.where("ck IS NOT NULL").select(F.col(f"`{key}`").alias("id"), "th", "class_key"), "neardup-rows")
+    best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = settle(best.select("class_key", "n", F.col("best.id").alias("best_id"), F.col("best.th").alias("best_th")), "neardup-best")
+    same = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("th") == F.col("best_th"))
+    told = spread_join(rows, best, "class_key").select("id", "th", same.alias("stays"))
+    # what goes, and what stays but is there more than once
+    told = told.groupBy("id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("times")).where("NOT stays OR times > 1")
+    told = settle(told.select("id", "th", "stays"), "neardup-told")
+    i, h, s = (free_name(x, docs.columns) for x in ("__id", "__th", "__stays"))
+    small = told.count() * 48 <= BROADCAST_BYTES
+    marks = told.select(F.col("id").alias(i), F.col("th").alias(h), F.col("stays").alias(s))
+    on = F.col(f"`{key}`").eqNullSafe(F.col(i)) & (digest(text) == F.col(h))
+    df = docs.join(F.broadcast(marks) if small else marks, on, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = df.where(F.col(f"`{s}`")).dropDuplicates([i, h]).select(*columns)
+    return df.where(F.col(f"`{s}`").isNull()).select(*columns).unionByName(again)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
