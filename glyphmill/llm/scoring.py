@@ -1,711 +1,569 @@
 """LM scoring by online logistic context mixing over the bits of tokens, along the words of a text.
 
-The end of a text is the empty token; a text's first token follows an end. A token is decided bit by bit. The first
-decision is whether the training documents have the token. A known token's further bits are those of its 64-bit code
-(a hash of its bytes), without the bits that all known tokens with the same earlier bits share. Each
-decision is predicted by the counts of all training tokens (order 0) and by those that follow the same token (order
-1), and by order 1 smoothed with order 0; their log-odds are mixed by weights that a gate selects from the counts. An
-unknown token's bytes and a closing space are spelled by a second mix, of hashed contexts of the bytes before them in
-the token (orders 1 to 4) and the whole prefix, refined by an adaptive probability map.
-
-The counts of both orders and of whole prefixes are exact, kept as rows and never collected: distinct tokens and
-distinct pairs of tokens, with what their decisions need computed in runs of sorted codes and words. Weights are learnt online from all pairs of the
-training documents, each predicted as if one of its occurrences had not been counted; tasks see whole groups of pairs,
-in steps of STEP_DECISIONS, and their weights are averaged.
-
-Texts stay where they are: they are cut to chunks of CHUNK_ROWS rows; each chunk's distinct pairs get their scores in
-one file a chunk in the shared folder, which the last pass over the texts looks its pairs up in.
-
-Collected and broadcast: weights, map and the counts of the codes' TOP_BITS, of fixed size, and the spelling's tables of
-orders 1 to 4, whose slots follow the number of known tokens up to 2^MOST_BITS an order, without collision checks. A
-task holds the pairs of one first token, and the tokens with the same HEAD bytes, at a time.
+The end of a text is a token of its own; a text's first token follows an end. Tokens are decided bit by bit along a
+Huffman tree of the HEAD most frequent training tokens and two leaves more: other known tokens, and unknown ones. Each
+decision has three predictors: the exact counts of the tree (order 0), and hashed contexts of the token before (order
+1) and of the two tokens before (order 2), with the decision's place in the tree. The hashed counts are smoothed by
+order 0; the log-odds of all three are mixed by weights that a gate selects from how often the contexts were seen, and
+the mix is refined by an adaptive probability map. A known token outside the head then goes by its exact, discounted
+count; an unknown one is spelled: its bytes and a closing space by a second mix, of hashed contexts of the bytes before.
+
+Tasks read the training texts in order and learn online: a slice of tokens is predicted, the weights follow the
+errors, then the contexts' counts take the slice in. A training token that occurs once in all is new where it stands,
+so that it teaches the unknown leaf. The tasks' counts and maps are summed, their weights
+averaged by how much each has learnt from; texts are scored with the sums. The spelling is learnt from each known token
+once, in the chunk where it comes first.
+
+Counts of all tokens (the base, the tree, the other known tokens) are exact rows by 64-bit hashes of the tokens, which
+grow with the corpus and are never collected: each chunk of texts gets the counts of its own tokens in a file of the
+shared folder. (Of 10^9 distinct tokens, two share a hash with a chance of 3 %; their counts would be added.)
+Collected and broadcast are tables of fixed size: the head, and the hashed counts, whose slots follow the number of
+training tokens up to 2^MOST_BITS an order, without collision checks: in a larger corpus, contexts that are frequent
+there outweigh those they share a slot with, and the gated weights learn what an order is still worth.
+
 Defined cases: a null or empty text is its end token; documents with a null id are training documents; repeated
-rows count and are scored each; with no training document every count is 0; an empty table gives no rows.
+rows count and are scored each; with no training document every count is 0; a very long text is a step of its own,
+in slices of tokens; columns other than the id and the text are not read, whatever they are called; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import io
-import uuid
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files
-from .common import settle, steps, work_dir
-
-CHUNK_ROWS = 8192
-LEAST_BITS, MOST_BITS = 18, 22
-N_TABLES = 4
-N_CTX = N_TABLES + 1
-HEAD = 4
-PART = 1 << 16
+from .common import drop, settle, steps, work_dir
+from .text import SOLID, found_words, mix
+from .tokens import ragged
+
+U, U32 = np.uint64, np.uint32
+#: Text bytes that the chunks of a table hold on the average, and hashes that a task holds before it counts them.
+CHUNK_BYTES, HELD_HASHES = 32 << 20, 1 << 22
+#: Text bytes that are cut to tokens at a time.
+PIECE_BYTES = 1 << 20
+#: Text bytes that a learning task reads at least, as each begins with fresh weights.
+TASK_BYTES = 8 << 20
+#: The end of a text, among the hashes of tokens.
+END = U(0x5851F42D4C957F2D)
+HEAD = 1 << 15
+LEAST_BITS, MOST_BITS = 14, 21
+SLICE = 3072
+LEVEL = np.minimum(5, np.ceil(np.log2(np.arange(256) + 1.0) * 0.75)).astype(np.int64)
 LEVELS = 6
-GATES = LEVELS * LEVELS * 8
-INPUTS = N_CTX + 1
-BUCKETS = 24
-TRAIN_TOKENS_PER_TASK = 400_000
-STEP_TOKENS = 8192
-LEARN_TOKENS = 512
-RATE = 0.03
-GROUP_BITS = 8
-TOP_BITS = 16
-BLOCK_ROWS = 1 << 15
-STEP_DECISIONS = 4096
-WORD_INPUTS = 4
-WORD_GATES = 8 * 2 * 6 * 2
-U = np.uint64
+GATES = LEVELS * LEVELS
+INPUTS = 4
+RATE = 0.05
+BUCKETS, TRUST = 32, 50.0
+SPELL_BITS, SPELL_TABLES, SPELL_SLICE, SPELL_RATE = 19, 5, 2048, 0.3
+SPELL_GATES = LEVELS * LEVELS * 8
 SPACE = 0x20
+#: Entries of a table that are summed together.
+PART = 1 << 14
+#: Tasks that sum the parts, for each of the groups that tasks are summed in first.
+SUM_TASKS = 16
+
+
+# --- the tree of the frequent tokens -----------------------------------------------------
+
+
+class Tree:
+    """Huffman tree; leaf k is the k-th token of the head, then known tokens outside it, then unknown ones."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, other: int, new: int):
+        order = np.argsort(hashes)
+        self.hashes, self.tail, self.new = hashes[order], len(hashes), len(hashes) + 1
+        weight = [*(counts[order].tolist()), max(1, other), max(1, new)]
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        n, up, side, share = len(weight), {}, {}, []
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            node = n + len(share)
+            up[i] = up[j] = node
+            side[i], side[j] = 0, 1
+            share.append(b / (a + b))
+            heapq.heappush(heap, (a + b, node))
+        nodes, bits, size = [], [], []
+        for leaf in range(n):
+            at, way = leaf, []
+            while at in up:
+                way.append((up[at] - n, side[at]))
+                at = up[at]
+            size.append(len(way))
+            nodes += [x for x, _ in reversed(way)]
+            bits += [x for _, x in reversed(way)]
+        self.size = np.array(size, np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.nodes, self.bits = np.array(nodes, np.int64), np.array(bits, np.float32)
+        self.turn = np.arange(len(share)).astype(U32) * U32(0x9E3779B1)
+        self.share = np.array(share, np.float32)
+        self.odds = np.log(self.share / (1 - self.share))
+
+    def leaves(self, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The leaf of each token. known: whether training documents have it, for tokens outside the head."""
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), max(0, self.tail - 1))
+        inside = self.hashes[spot] == hashes if self.tail else np.zeros(len(hashes), bool)
+        return np.where(inside, spot, np.where(known, self.tail, self.new))
+
+
+def bits_for(tokens: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * int(tokens)).bit_length()))
+
+
+class Mixer:
+    """Hashed counts of orders 1 and 2, gated weights and the adaptive map."""
+
+    def __init__(self, tree: Tree, bits: int):
+        self.tree, self.bits = tree, bits
+        # n0 and n1 of a slot as one complex number: one look-up gives both
+        self.tables = [np.zeros(1 << bits, np.complex64) for _ in range(2)]
+        seen1, seen2 = np.repeat(np.arange(LEVELS) > 0, LEVELS), np.tile(np.arange(LEVELS) > 0, LEVELS)
+        self.weights = np.stack([np.where(seen1 | seen2, 0.3, 1.0), 0.4 * seen1, 0.4 * seen2, np.zeros(GATES)]).astype(np.float32)
+        self.map = np.zeros((2, LEVELS * BUCKETS))
+
+    def decisions(self, leaf: np.ndarray, c1: np.ndarray, c2: np.ndarray):
+        """Row, place, bit and slots of each decision on tokens with the given leaves and context hashes."""
+        tree = self.tree
+        size = tree.size.take(leaf)
+        row = np.repeat(np.arange(len(leaf)), size)
+        upto = np.cumsum(size)
+        at = (tree.at.take(leaf) - upto + size).take(row)
+        at += np.arange(len(row))
+        node, bit = tree.nodes.take(at), tree.bits.take(at)
+        slots = []
+        turn = tree.turn.take(node)
+        for c in (c1, c2):
+            x = c.take(row)
+            x ^= turn
+            x *= U32(0x85EBCA6B)
+            x ^= x >> U32(15)
+            x >>= U32(32 - self.bits)
+            slots.append(x.astype(np.int64))
+        return row, node, bit, slots
+
+    def mixed(self, node: np.ndarray, slots: list[np.ndarray]):
+        """Inputs, gate and level of the contexts, mixed log-odds."""
+        p0 = self.tree.share.take(node)  # prior counts of one in all
+        q0 = np.float32(1) - p0
+        xs, levels = [self.tree.odds.take(node)], []
+        for table, s in zip(self.tables, slots, strict=True):
+            both = table.take(s)
+            n0, n1 = both.real, both.imag
+            x = n1 + p0
+            x /= n0 + q0
+            xs.append(np.log(x, out=x))
+            n = n0 + n1
+            levels.append(LEVEL.take(np.minimum(n, np.float32(255), out=n).astype(np.int64)))
+        gate = levels[0] * LEVELS
+        gate += levels[1]
+        w = self.weights
+        dot = w[3].take(gate)
+        for k in range(3):
+            dot += w[k].take(gate) * xs[k]
+        return xs, gate, levels[0], np.clip(dot, -16, 16, out=dot)
+
+    def cell(self, level: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        x = dot + np.float32(12)
+        x *= np.float32(BUCKETS / 24)
+        return level * BUCKETS + np.clip(x, 0, BUCKETS - 1, out=x).astype(np.int64)
+
+    def learn(self, leaf: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> None:
+        """A slice of tokens: predicted, then learnt from."""
+        _, node, bit, slots = self.decisions(leaf, c1, c2)
+        xs, gate, level, dot = self.mixed(node, slots)
+        p = 1 / (1 + np.exp(-dot))
+        err = bit - p
+        pull = RATE / np.maximum(np.bincount(gate, minlength=GATES), 1)
+        for k in range(3):
+            self.weights[k] += pull * np.bincount(gate, err * xs[k], GATES)
+        self.weights[3] += pull * np.bincount(gate, err, GATES)
+        cell = self.cell(level, dot)
+        self.map[0] += np.bincount(cell, minlength=LEVELS * BUCKETS)
+        self.map[1] += np.bincount(cell, bit, LEVELS * BUCKETS)
+        for table, s in zip(self.tables, slots, strict=True):
+            np.add.at(table.view(np.float32), 2 * s + (bit > 0), np.float32(1))
+
+    def refined(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the map says in each cell, and how far it is followed."""
+        return ((self.map[1] + 1e-2) / (self.map[0] + 2e-2)).astype(np.float32), (0.5 * self.map[0] / (self.map[0] + TRUST)).astype(np.float32)
+
+    def score(self, leaf: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """log10 of the tokens' ways through the tree."""
+        out, (share, trust) = np.zeros(len(leaf)), self.refined()
+        for k in range(0, len(leaf), SLICE):
+            cut = slice(k, k + SLICE)
+            row, node, bit, slots = self.decisions(leaf[cut], c1[cut], c2[cut])
+            _, _, level, dot = self.mixed(node, slots)
+            p = 1 / (1 + np.exp(-dot))
+            cell = self.cell(level, dot)
+            p += trust.take(cell) * (share.take(cell) - p)
+            p = np.abs(p + bit - np.float32(1))
+            out[cut] = np.bincount(row, np.log10(np.maximum(p, np.float32(1e-9))), len(out[cut]))
+        return out
 
 
-# --- bits and contexts ---------------------------------------------------------------------
-
-
-def slots_for(bits: int) -> int:
-    """Slots of the tables: 2^16 for order 1, which needs no hash, and 2^bits for each other."""
-    return (1 << 16) + (N_TABLES - 1 << bits)
-
-
-SLOTS = slots_for(LEAST_BITS)
-
-
-def bits_of(table: np.ndarray) -> int:
-    return (len(table) // 2 - (1 << 16)).bit_length() - (N_TABLES - 1).bit_length()
-
-
-def bits_for(known: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, int(known).bit_length()))
-
-
-def contexts(tokens: list[bytes]):
-    """For each byte of the tokens with their closing space: token index, value, and the hashes of its contexts."""
-    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    size = np.array([len(t) + 1 for t in tokens], np.int64)
-    token = np.repeat(np.arange(len(tokens)), size)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    back = []
-    for k in range(1, 5):
-        prior = np.zeros(len(data), np.uint8)
-        prior[k:] = data[:-k]
-        back.append(np.where(place >= k, prior, SPACE).astype(np.uint32))
-    mul = np.uint32(0x9E3779B1)
-    with np.errstate(over="ignore"):
-        o1 = back[0] << np.uint32(8)
-        o2 = (back[0] | back[1] << np.uint32(8)) + np.uint32(1)
-        o3 = o2 | back[2] << np.uint32(17)
-        o4 = (o2 * mul) ^ ((back[2] | back[3] << np.uint32(8)) * np.uint32(0x85EBCA6B))
-    return token, data, [o1, o2 * mul, o3 * np.uint32(0xC2B2AE35), o4], back[0]
-
-
-def whole_prefix(tokens: list[bytes], weight: np.ndarray) -> np.ndarray:
-    """For each byte (with its closing space) and bit from the highest, the counts of 0 and 1 after the same bits of a token: 2 x 8 x bytes.
-
-    Tokens: distinct, sorted with their closing spaces, all that share HEAD bytes. Left 0 within HEAD, where order 4 has
-    the whole prefix, and where no other token shares it: a token's own count is not needed.
-    """
-    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    size = np.array([len(t) + 1 for t in tokens], np.int64)
-    start = np.cumsum(size) - size
-    out = np.zeros((2, 8, len(data)), np.float32)
-    heads = [t[:HEAD] for t in tokens]
-    new = np.array([True, *(x != y for x, y in zip(heads[1:], heads, strict=False))])
-    rows, j = np.arange(len(tokens)), HEAD
-    while True:
-        alone = new & np.append(new[1:], True)
-        keep = ~alone & (size[rows] > j)
-        rows, new = rows[keep], new[keep]
-        if not len(rows):
-            return out
-        new[0] = True
-        at = start[rows] + j
-        c, byte = weight[rows], data[at]
-        for b in range(8):
-            run = np.cumsum(new) - 1
-            bit = byte >> np.uint8(7 - b) & np.uint8(1)
-            ones = np.bincount(run, c * bit)
-            out[0, b, at], out[1, b, at] = (np.bincount(run, c) - ones)[run], ones[run]
-            new[1:] |= bit[1:] != bit[:-1]
-        j += 1
-
-
-def slots(hashes: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The contexts' slots for the bits with the given node (the byte's bits so far, with a leading 1)."""
-    out = []
-    with np.errstate(over="ignore"):
-        for k, h in enumerate(hashes):
-            if k == 0:
-                out.append((h | node).astype(np.int64))
-                continue
-            x = (h ^ (node * np.uint32(0x2545F491))) * np.uint32(0x9E3779B1)
-            out.append(((x ^ x >> np.uint32(15)) >> np.uint32(32 - bits)).astype(np.int64) + (1 << 16) + (k - 1 << bits))
-    return out
-
-
-def level(total: np.ndarray) -> np.ndarray:
-    return np.minimum(LEVELS - 1, np.log2(total + 1).astype(np.int64) // 2 + (total > 0))
+# --- spelling of unknown tokens ------------------------------------------------------------
 
 
-def count(tokens: list[bytes], weight: np.ndarray, table: np.ndarray) -> None:
-    """Adds the tokens' bits, each as often as weight says, to table (SLOTS x 2, flat)."""
-    token, data, hashes, _ = contexts(tokens)
-    w = weight[token].astype(np.float64)
-    node = np.ones(len(data), np.uint32)
-    for b in range(7, -1, -1):
-        bit = (data >> b) & 1
-        for s in slots(hashes, node, bits_of(table)):
-            np.add.at(table, 2 * s + bit, w)
-        node = node * np.uint32(2) + bit
+class Speller:
+    """Bits of the bytes of unknown tokens: hashed contexts of one to SPELL_TABLES bytes before, gated weights."""
 
+    def __init__(self):
+        self.table = np.zeros(2 * SPELL_TABLES << SPELL_BITS, np.float32)
+        self.weights = np.full((SPELL_TABLES + 1, SPELL_GATES), 0.3, np.float32)
 
-def portions(tokens: list[bytes], weight: np.ndarray, whole: np.ndarray | None, step: int):
-    """Tokens, weights and whole-prefix counts (none: zeros) in steps."""
-    ends = np.cumsum([0, *(len(t) + 1 for t in tokens)])
-    for k in range(0, len(tokens), step):
-        a, b = ends[k], ends[min(k + step, len(tokens))]
-        yield tokens[k : k + step], weight[k : k + step], np.zeros((2, 8, b - a), np.float32) if whole is None else whole[:, :, a:b]
+    def contexts(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """For each byte of the tokens with their closing space: token, value and the hashes of its contexts."""
+        token = np.repeat(np.arange(len(size)), size + 1)
+        place = ragged(size + 1)
+        last = place == size[token]
+        value = np.where(last, SPACE, data[np.minimum(start[token] + place, len(data) - 1)]) if len(data) else np.full(len(token), SPACE)
+        value = value.astype(U32)
+        hashes, h = [], np.zeros(len(value), U32)
+        for k in range(1, SPELL_TABLES + 1):
+            before = np.full(len(value), SPACE, U32)
+            before[k:] = value[:-k]
+            h = h * U32(0x2545F491) + np.where(place >= k, before, U32(SPACE)) + U32(k)
+            hashes.append(h)
+        return token, value, hashes
 
+    def slots(self, hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k, h in enumerate(hashes):
+            x = (h ^ node * U32(0x9E3779B1)) * U32(0x85EBCA6B)
+            out.append(((x ^ x >> U32(15)) >> U32(32 - SPELL_BITS)).astype(np.int64) + (k << SPELL_BITS))
+        return out
 
-class Model:
-    """Tables, gated weights and the adaptive map."""
-
-    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, apm: np.ndarray | None = None):
-        self.table = table.astype(np.float32, copy=False)
-        self.bits = bits_of(table)
-        self.weights = np.full((GATES, INPUTS), 0.3, np.float64) if weights is None else weights
-        self.apm = np.zeros((256 * BUCKETS, 2)) if apm is None else apm
-
-    def mixed(self, s: list[np.ndarray], whole: np.ndarray, bit: np.ndarray, b: int, minus: np.ndarray | None):
-        """Inputs (log-odds of the contexts), gate and mixed log-odds."""
-        x = np.empty((INPUTS, len(bit)), np.float32)
-        totals = []
-        for k in range(N_CTX):
-            n0, n1 = (self.table[2 * s[k]], self.table[2 * s[k] + 1]) if k < N_TABLES else whole
-            if minus is not None:
-                n0 = np.maximum(n0 - (1 - bit) * minus, 0)
-                n1 = np.maximum(n1 - bit * minus, 0)
-            x[k] = np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)))
-            totals.append(n0 + n1)
-        x[N_CTX] = 0.3
-        gate = (level(totals[-1]) * LEVELS + level(totals[-2])) * 8 + b
-        dot = np.einsum("ki,ik->i", x, self.weights[gate].astype(np.float32))
-        return x, gate, np.clip(dot, -20, 20)
-
-    def cell(self, dot: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        return prior.astype(np.int64) * BUCKETS + np.clip((dot + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
-
-    def learn(self, tokens: list[bytes], weight: np.ndarray, whole: np.ndarray | None = None) -> None:
-        """Online: tokens in steps, the weights moved after each."""
-        for part, w, over in portions(tokens, weight, whole, LEARN_TOKENS):
-            token, data, hashes, prior = contexts(part)
-            each = w[token].astype(np.float64)
-            node = np.ones(len(data), np.uint32)
-            for b in range(7, -1, -1):
-                bit = ((data >> b) & 1).astype(np.float32)
-                x, gate, dot = self.mixed(slots(hashes, node, self.bits), over[:, 7 - b], bit, b, np.float32(1))
-                p = 1 / (1 + np.exp(-dot.astype(np.float64)))
-                err = (bit - p) * each
-                total = np.bincount(gate, each, GATES)
-                for k in range(INPUTS):
-                    self.weights[:, k] += RATE * np.bincount(gate, err * x[k], GATES) / np.maximum(total, 1)
-                cell = self.cell(dot, prior)
-                self.apm[:, 0] += np.bincount(cell, each, len(self.apm))
-                self.apm[:, 1] += np.bincount(cell, each * bit, len(self.apm))
-                node = node * np.uint32(2) + bit.astype(np.uint32)
-
-    def score(self, tokens: list[bytes], whole: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each token's probability."""
-        out = [np.zeros(0)]
-        share = (self.apm[:, 1] + 1e-3) / (self.apm[:, 0] + 2e-3)
-        trust = self.apm[:, 0] / (self.apm[:, 0] + 50)
-        for part, _, over in portions(tokens, np.zeros(len(tokens)), whole, STEP_TOKENS):
-            token, data, hashes, prior = contexts(part)
-            node, total = np.ones(len(data), np.uint32), np.zeros(len(data))
+    def mixed(self, slots: list[np.ndarray], bit_no: int):
+        xs, levels = [], []
+        for s in slots:
+            n0, n1 = self.table[2 * s], self.table[2 * s + 1]
+            xs.append(np.log((n1 + np.float32(0.1)) / (n0 + np.float32(0.1))))
+            levels.append(LEVEL[np.minimum(n0 + n1, np.float32(255)).astype(np.int32)])
+        gate = (levels[-1] * LEVELS + levels[-2]) * 8 + bit_no
+        dot = self.weights[-1][gate]
+        for k, x in enumerate(xs):
+            dot += self.weights[k][gate] * x
+        return xs, gate, np.clip(dot, -16, 16)
+
+    def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, learn: bool) -> np.ndarray:
+        """log10 of each token's probability; online, slice after slice, if learning."""
+        out = np.zeros(len(size))
+        for k in range(0, len(size), SPELL_SLICE):
+            token, value, hashes = self.contexts(data, start[k : k + SPELL_SLICE], size[k : k + SPELL_SLICE])
+            node, total, met = np.ones(len(value), U32), np.zeros(len(value)), []
             for b in range(7, -1, -1):
-                bit = (data >> b) & 1
-                _, _, dot = self.mixed(slots(hashes, node, self.bits), over[:, 7 - b], bit, b, None)
-                p = 1 / (1 + np.exp(-dot.astype(np.float64)))
-                cell = self.cell(dot, prior)
-                p = p + 0.5 * trust[cell] * (share[cell] - p)
-                total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1))
-                node = node * np.uint32(2) + bit
-            out.append(np.bincount(token, total, len(part)))
-        return np.concatenate(out)
-
-# --- decisions on known tokens -------------------------------------------------------------
+                bit = (value >> U32(b)) & U32(1)
+                slots = self.slots(hashes, node)
+                xs, gate, dot = self.mixed(slots, b)
+                p = 1 / (1 + np.exp(-dot))
+                if learn:
+                    err = bit - p
+                    pull = SPELL_RATE / np.maximum(np.bincount(gate, minlength=SPELL_GATES), 1)
+                    for i, x in enumerate(xs):
+                        self.weights[i] += pull * np.bincount(gate, err * x, SPELL_GATES)
+                    self.weights[-1] += pull * np.bincount(gate, err, SPELL_GATES)
+                    met += [2 * s + bit for s in slots]
+                else:
+                    total += np.log10(np.maximum(np.where(bit > 0, p, 1 - p), 1e-9))
+                node = node * U32(2) + bit
+            if learn and met:
+                np.add.at(self.table, np.concatenate(met), np.float32(1))
+            out[k : k + SPELL_SLICE] = np.bincount(token, total, len(size[k : k + SPELL_SLICE]))
+        return out
 
 
-def code_of(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+# --- streams of tokens -------------------------------------------------------------------
+
+
+class Stream:
+    """The tokens of some texts, one after another with their ends, and what their chunk knows of them."""
+
+    def __init__(self, texts: list[bytes | None], keys: np.ndarray, counts: np.ndarray):
+        h, bounds, self.data, start, size = found_words(texts, SOLID)
+        n = np.diff(bounds)
+        self.doc = np.repeat(np.arange(len(texts)), n + 1)
+        word = np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)
+        total = len(self.doc)
+        self.hash = np.full(total, END, U)
+        self.hash[word] = h
+        self.start, self.size = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        self.start[word], self.size[word] = start, size
+        self.code, self.distinct = pd.factorize(self.hash)
+        at = np.minimum(np.searchsorted(keys, self.distinct), len(keys) - 1)
+        self.known = np.where(keys[at] == self.distinct, counts[at], 0)
+        self.spot = at  # of the distinct tokens in keys, where they are there
+        self.count = self.known[self.code]
+        # contexts of the one token and the two tokens before; a text's first token follows an end
+        own = (mix(self.distinct) >> U(32)).astype(U32)
+        first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]])
+        c = own[self.code]
+        self.c1 = np.concatenate([[U32(0)], c[:-1]])
+        self.c1[first] = U32(0)
+        back = np.concatenate([[U32(0)], self.c1[:-1]])
+        back[first] = U32(1)
+        self.c2 = self.c1 * U32(0x2545F491) + back * U32(0x9E3779B1) + U32(7)
+
+    def leaves(self, tree: Tree, least: int) -> np.ndarray:
+        """Leaves, where tokens that training documents have less than `least` times are unknown."""
+        return tree.leaves(self.distinct, self.known >= least)[self.code]
 
 
-def pair_key(prev: np.ndarray, code: np.ndarray) -> np.ndarray:
-    x = prev.view(U) * U(0x9E3779B97F4A7C15)
-    return (x ^ x >> U(29)) * U(0xBF58476D1CE4E5B9) + code.view(U)
+class Model:
+    """All that scores a text."""
 
+    def __init__(self, mixer: Mixer, speller: Speller, discount: float, tail_mass: float):
+        self.mixer, self.speller, self.discount, self.tail_mass = mixer, speller, discount, tail_mass
 
-def shared_bits(code: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """How many leading bits each code shares with the one before it; -1 where a group begins."""
-    x = code[1:] ^ code[:-1]
-    hi, lo = (x >> U(32)).astype(np.float64), (x & U(0xFFFFFFFF)).astype(np.float64)
-    lead = np.full(len(code), -1)
-    lead[1:] = np.where(hi > 0, 32 - np.frexp(hi)[1], 64 - np.frexp(lo)[1])
-    lead[new] = -1
-    return lead
+    def score(self, s: Stream) -> np.ndarray:
+        """log10 of each token's probability."""
+        tree = self.mixer.tree
+        leaf = s.leaves(tree, 1)
+        out = self.mixer.score(leaf, s.c1, s.c2)
+        tail = leaf == tree.tail
+        out[tail] += np.log10((s.count[tail] - self.discount) / self.tail_mass)
+        new = np.flatnonzero(leaf == tree.new)
+        out[new] += self.speller.run(s.data, s.start[new], s.size[new], False)
+        return out
 
 
-def run_counts(lead: np.ndarray, code: np.ndarray, c: np.ndarray, d: int):
-    """Counts below each row's node at depth d, with bit 0 and bit 1."""
-    run = np.cumsum(lead < d) - 1
-    ones = np.bincount(run, c * (code >> U(63 - d) & U(1)))
-    return (np.bincount(run, c) - ones)[run], ones[run]
+# --- over the corpus -----------------------------------------------------------------------
 
 
-def pack(n: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.round(7 * np.log2(n + 1.0))).astype(np.uint8)
+def chunked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """id, text, held_out, chunk: a copy of the texts, cut to chunks of about CHUNK_BYTES; and how many bytes they hold."""
+    held = F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()
+    some = max(1, CHUNK_BYTES * rows // max(1, size))
+    made = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), held.alias("held_out"), F.expr(f"monotonically_increasing_id() div {some}").alias("chunk"))
+    return settle(made, "scoring-texts"), size
 
 
-UNPACK = 2.0 ** (np.arange(256) / 7) - 1
+def by_chunk(batches):
+    """Pieces of some MB of text, none across chunks: chunk, texts, held_out and the record batch."""
+    for batch in batches:
+        for piece in steps(batch, "text", PIECE_BYTES):
+            chunk = piece.column("chunk").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                part = piece.slice(a, b - a)
+                yield int(chunk[a]), part.column("text").cast(pa.binary()).to_pylist(), part.column("held_out").to_numpy(zero_copy_only=False), part
 
 
-def paths(code: np.ndarray, c: np.ndarray):
-    """Of all known tokens that share GROUP_BITS, sorted by code: the depths from TOP_BITS on where their nodes branch, and the counts there."""
-    lead = shared_bits(code, np.array([0]))
-    mask, parts, rows = np.zeros(len(code), U), [], []
-    for d in range(TOP_BITS, 64):
-        if lead.max() < d:
-            break
-        n0, n1 = run_counts(lead, code, c, d)
-        at = np.flatnonzero((n0 > 0) & (n1 > 0))
-        mask[at] |= U(1) << U(63 - d)
-        rows.append(at)
-        parts.append(np.stack([pack(n0[at]), pack(n1[at])], 1))
-    if not rows:
-        return mask, [b""] * len(code)
-    order = np.argsort(np.concatenate(rows), kind="stable")
-    flat, size = np.concatenate(parts)[order], np.bincount(np.concatenate(rows), minlength=len(code))
-    return mask, [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
-
-
-def top_counts(code: np.ndarray, top: np.ndarray, d: int):
-    """Counts of all training tokens below the codes' nodes at a depth under TOP_BITS. top: sums of the counts by TOP_BITS, from 0."""
-    half = 1 << (TOP_BITS - 1 - d)
-    lo = (code >> U(64 - TOP_BITS)).astype(np.int64) // (2 * half) * 2 * half
-    return top[lo + half] - top[lo], top[lo + 2 * half] - top[lo + half]
-
-
-def decisions(prev, code, c, known, mask, path: list[bytes], top: np.ndarray, fresh: tuple[int, int], leave_one_out: bool):
-    """rows, depth, bit and the counts of both orders for each decision on pairs sorted by (prev, code).
-
-    c: the pairs' counts in training documents, known: their second tokens'; fresh: training tokens that occur
-    more than once, and once. A token that occurs once is unknown when one occurrence is left out.
-    """
-    code = code.view(U)
-    new = np.concatenate([[True], prev[1:] != prev[:-1]]) if len(prev) else np.zeros(0, bool)
-    lead = shared_bits(code, np.flatnonzero(new))
-    group = np.cumsum(new) - 1
-    unknown = known <= 1 if leave_one_out else known == 0
-    once = np.bincount(group, c * (known == 1))[group]
-    counts = [np.full(len(code), float(fresh[0])), np.full(len(code), float(fresh[1])), np.bincount(group, c)[group] - once, once]
-
-    def cut(rows, bit, counts):
-        if leave_one_out:
-            for i, n in enumerate(counts):
-                counts[i] = np.maximum(n - (bit == i % 2), 0)
-        return rows, bit, counts
-
-    rows = np.flatnonzero(c > 0) if leave_one_out else np.arange(len(code))
-    yield -1, *cut(rows, unknown[rows].astype(float), [n[rows] for n in counts])
-    flat = np.frombuffer(b"".join(path), np.uint8)
-    at = np.cumsum([0, *map(len, path)])[:-1]
-    use = ~unknown & (c > 0) if leave_one_out else ~unknown
-    for d in range(64):
-        if d < TOP_BITS:
-            n0, n1 = top_counts(code, top, d)
-            has = (n0 > 0) & (n1 > 0)
-        else:
-            has = (mask.view(U) >> U(63 - d) & U(1)).astype(bool)
-        rows = np.flatnonzero(has & use)
-        if len(rows):
-            b0, b1 = run_counts(lead, code, c, d)
-            a0, a1 = (n0[rows], n1[rows]) if d < TOP_BITS else (UNPACK[flat[at[rows]]], UNPACK[flat[at[rows] + 1]])
-            yield d, *cut(rows, (code[rows] >> U(63 - d) & U(1)).astype(float), [a0, a1, b0[rows], b1[rows]])
-        if d >= TOP_BITS:
-            at = at + 2 * has
-
-
-class Words:
-    """Gated weights of the decisions on known tokens."""
-
-    def __init__(self, weights: np.ndarray | None = None):
-        self.weights = np.tile([0.0, 0.0, 1.0, 0.0], (WORD_GATES, 1)) if weights is None else weights
-
-    def mixed(self, depth: int, counts):
-        a0, a1, b0, b1 = counts
-        share = (a1 + 0.05) / (a0 + a1 + 0.1)
-        both = b0 + b1
-        x = np.stack([np.log(share / (1 - share)), np.log((b1 + 0.05) / (b0 + 0.05)), np.log((b1 + 2 * share) / (b0 + 2 * (1 - share))), np.full(len(a0), 0.3)])
-        size = np.minimum(7, np.ceil(np.log2(both + 1))).astype(np.int64)
-        wide = np.minimum(5, np.log2(a0 + a1 + 1) // 3).astype(np.int64)
-        gate = ((size * 2 + ((b0 > 0) & (b1 > 0))) * 6 + wide) * 2 + (depth < 0)
-        return x, gate, 1 / (1 + np.exp(-np.clip(np.einsum("ki,ik->i", x, self.weights[gate]), -20, 20)))
-
-    def learn(self, weight: np.ndarray, found) -> int:
-        """Online: decisions in steps, the weights moved after each. Returns how many it has learnt from."""
-        learnt = 0
-        for depth, rows, bit, counts in found:
-            for k in range(0, len(rows), STEP_DECISIONS):
-                cut = slice(k, k + STEP_DECISIONS)
-                x, gate, p = self.mixed(depth, [n[cut] for n in counts])
-                each = weight[rows[cut]].astype(np.float64)
-                err = (bit[cut] - p) * each
-                total = np.maximum(np.bincount(gate, each, WORD_GATES), 1)
-                for i in range(WORD_INPUTS):
-                    self.weights[:, i] += RATE * np.bincount(gate, err * x[i], WORD_GATES) / total
-                learnt += len(each)
-        return learnt
-
-    def score(self, size: int, found) -> np.ndarray:
-        """log10 of each pair's decisions."""
-        out = np.zeros(size)
-        for depth, rows, bit, counts in found:
-            _, _, p = self.mixed(depth, counts)
-            out[rows] += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
+def chunk_counts(base: DataFrame) -> DataFrame:
+    """chunk, h, c: each chunk's distinct tokens with their count in its training documents."""
 
+    def summed(parts):
+        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code, distinct = pd.factorize(h)
+        return distinct, np.bincount(code, c, len(distinct)).astype(np.int64)
 
-# --- over the corpus -----------------------------------------------------------------------
+    def run(batches):
+        parts, held, now = [], 0, None
 
+        def flush():
+            h, c = summed(parts)
+            order = np.argsort(h)
+            done = pa.table({"chunk": pa.array(np.full(len(h), now)), "h": pa.array(h[order].view(np.int64)), "c": pa.array(c[order])})
+            return done.to_batches(max_chunksize=100_000)
+
+        for chunk, texts, held_out, _ in by_chunk(batches):
+            if now is not None and chunk != now:
+                yield from flush()
+                parts, held = [], 0
+            now = chunk
+            h, bounds = found_words(texts, SOLID)[:2]
+            n = np.diff(bounds)
+            parts += [(h, np.repeat(~held_out, n).astype(np.int64)), (np.full(len(n), END, U), (~held_out).astype(np.int64))]
+            held += len(h)
+            if held > HELD_HASHES:
+                parts, held = [summed(parts)], 0
+        if now is not None:
+            yield from flush()
 
-def tokens_of(texts: list[bytes | None]) -> list[list[bytes]]:
-    return [(t or b"").lower().split() for t in texts]
+    return base.mapInArrow(run, "chunk long, h long, c long")
 
 
-def chunk_counts(base: DataFrame) -> DataFrame:
-    """chunk, word, c: each chunk's distinct tokens (the end is the empty one) with their count in its training documents."""
-    schema = "chunk long, word binary, c long"
+def write_counts(counts: DataFrame, folder: str) -> int:
+    """A file a chunk: its tokens' hashes in order, with their counts in all training documents. Returns how many."""
+    chunks = counts.select("chunk").distinct().count()
 
     def run(batches):
-        train: Counter = Counter()
-        every: set = set()
-        now = None
+        now, held = None, []
 
         def flush():
-            names = list(every)
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array([train[w] for w in part], pa.int64())], names=["chunk", "word", "c"])
-            train.clear()
-            every.clear()
+            table = pa.Table.from_batches(held).select(["h", "total", "lead"])
+            order = np.argsort(table.column("h").to_numpy().view(U))
+            out = io.BytesIO()
+            with pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                f.write_table(table.take(pa.array(order)))
+            files.put(folder, f"chunk-{now}.arrow", out.getvalue())
 
         for batch in batches:
-            for piece in steps(batch, "text"):
-                rows = zip(piece.column("chunk").to_pylist(), piece.column("held_out").to_pylist(), tokens_of(piece.column("text").cast(pa.binary()).to_pylist()), strict=True)
-                for chunk, held_out, words in rows:
-                    if chunk != now and now is not None:
-                        yield from flush()
-                    now = chunk
-                    every.update(words)
-                    every.add(b"")
-                    if not held_out:
-                        train.update(words)
-                        train[b""] += 1
-        if now is not None:
-            yield from flush()
+            chunk = batch.column("chunk").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if b > a:
+                    if now is not None and chunk[a] != now:
+                        flush()
+                        held = []
+                    now = int(chunk[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], names=["chunk"])
 
-    return base.mapInArrow(run, schema)
+    # a task that is tried again writes the same files again
+    counts.select("chunk", "h", "total", "lead").repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk long").agg(F.count(F.lit(1))).first()
+    return chunks
 
 
-def tables(vocabulary: DataFrame, tasks: int, slots: int) -> np.ndarray:
-    """Bit counts of all known tokens, slots x 2, flat: summed part by part, collected at that size."""
+class Lookup:
+    """The counts of the chunk that is read, from its file."""
 
-    def run(batches):
-        table, any_ = np.zeros(2 * slots), False
-        for batch in batches:
-            for k in range(0, batch.num_rows, STEP_TOKENS):
-                part = batch.slice(k, STEP_TOKENS)
-                count(part.column("word").to_pylist(), part.column("c").to_numpy(), table)
-                any_ = True
-        if any_:
-            for k in range(0, 2 * slots, PART):
-                piece = table[k : k + PART]
-                at = np.flatnonzero(piece)
-                if len(at):
-                    yield pd_batch(k // PART, at, piece[at])
-
-    def pd_batch(part, at, value):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["part", "at", "value"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(PART)
-        for at, value in zip(pdf["at"], pdf["value"], strict=True):
-            total[np.frombuffer(at, "<i4")] += np.frombuffer(value, "<f8")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "value": [total.astype("<f4").tobytes()]})
-
-    rows = vocabulary.repartition(tasks).mapInArrow(run, "part int, at binary, value binary").groupBy("part").applyInPandas(add, "part int, value binary").collect()
-    out = np.zeros(2 * slots, np.float32)
-    for r in rows:
-        piece = np.frombuffer(r["value"], "<f4")
-        out[r["part"] * PART : r["part"] * PART + len(piece)] = piece[: 2 * slots - r["part"] * PART]
-    return out
-
-
-def by_spelling(block: pa.Table):
-    """The block's words sorted with their closing spaces, their counts and those of their whole prefixes by known tokens."""
-    c = block.column("c").to_numpy()
-    words = block.column("word").to_pylist()
-    order = sorted(range(len(words)), key=lambda i: words[i] + b" ")
-    words, c = [words[i] for i in order], c[order]
-    return words, c, whole_prefix(words, (c > 0).astype(np.float64))
-
-
-def weights(vocabulary: DataFrame, table) -> tuple[np.ndarray, np.ndarray]:
-    """The tasks' learnt weights, averaged by how much each has learnt from, and their summed maps: fixed numbers of values.
-
-    A task learns from all its known tokens, each once; vocabulary: head, word, c, heads whole and in order.
-    """
+    def __init__(self, folder: str):
+        self.folder, self.now = folder, None
 
-    def run(batches):
-        model, learnt = Model(table.value), 0
-        for block in blocks(batches, "head"):
-            words, c, whole = by_spelling(block)
-            at = np.random.default_rng(len(words)).permutation(len(words))
-            ends = np.cumsum([0, *(len(w) + 1 for w in words)])
-            for k in range(0, len(at), STEP_TOKENS):
-                part = at[k : k + STEP_TOKENS]
-                bytes_ = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in part])
-                model.learn([words[i] for i in part], np.ones(len(part)), whole[:, :, bytes_])
-            learnt += len(c)
-        if learnt:
-            w, a = model.weights.ravel(), model.apm.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + len(a) + 1)), pa.array(np.concatenate([w * learnt, a, [learnt]]))], names=["i", "v"])
+    def stream(self, chunk: int, texts: list) -> Stream:
+        if chunk != self.now:
+            got = pa.ipc.open_file(pa.BufferReader(files.read(self.folder, f"chunk-{chunk}.arrow"))).read_all()
+            self.now, self.keys, self.counts = chunk, got.column("h").to_numpy().view(U), got.column("total").to_numpy()
+            self.lead = got.column("lead").to_numpy(zero_copy_only=False).copy()
+        return Stream(texts, self.keys, self.counts)
 
-    rows = vocabulary.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(GATES * INPUTS + 512 * BUCKETS + 1)
-    for i, v in rows:
-        flat[i] = v
-    n = GATES * INPUTS
-    w = flat[:n] / flat[-1] if flat[-1] else np.full(n, 0.3)
-    return w.reshape(GATES, INPUTS), flat[n:-1].reshape(-1, 2)
+    def first(self, s: Stream) -> np.ndarray:
+        """Places of words that come first, in all training documents, in this chunk and here; each is given once."""
+        fresh = np.flatnonzero(self.lead[s.spot])
+        self.lead[s.spot[fresh]] = False
+        place = np.empty(len(s.distinct), np.int64)
+        place[s.code[::-1]] = np.arange(len(s.code))[::-1]
+        place = place[fresh]
+        return place[s.size[place] > 0]
 
 
-def pair_counts(base: DataFrame) -> DataFrame:
-    """chunk, prev, code, c: each chunk's distinct pairs of following tokens with their count in its training documents."""
+SUMS = "part int, task int, n long, value binary"
 
-    def run(batches):
-        train: list = []
-        held: list = []
-        now, codes = None, {}
 
-        def flush():
-            key, c = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-            for part, one in ((train, 1), (held, 0)):
-                if part:
-                    key, c = np.concatenate([key, *part]), np.concatenate([c, np.full(sum(map(len, part)), one)])
-            order = np.lexsort((key[:, 1], key[:, 0]))
-            key, c = key[order], c[order]
-            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            key, c = key[start], np.add.reduceat(c, start)
-            for k in range(0, len(c), 50_000):
-                part = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c[part]), now)), *(pa.array(np.ascontiguousarray(x[part])) for x in (key[:, 0], key[:, 1], c))], names=["chunk", "prev", "code", "c"])
-            train.clear()
-            held.clear()
-            codes.clear()
+def summed_parts(parts: DataFrame, salt: int) -> DataFrame:
+    """Sums of the parts' arrays, as streams: a task holds one array."""
 
+    def run(batches):
+        now, total, n = None, None, 0
         for batch in batches:
-            for piece in steps(batch, "text"):
-                rows = zip(piece.column("chunk").to_pylist(), piece.column("held_out").to_pylist(), tokens_of(piece.column("text").cast(pa.binary()).to_pylist()), strict=True)
-                for chunk, held_out, words in rows:
-                    if chunk != now and now is not None:
-                        yield from flush()
-                    now = chunk
-                    (held if held_out else train).append(pairs_of(words, codes))
+            for part, task, k, value in zip(*[batch.column(c).to_pylist() for c in ("part", "task", "n", "value")], strict=True):
+                array = np.frombuffer(pa.decompress(value, k * 4, codec="zstd", asbytes=True), np.float32)
+                if now != (part, task):
+                    if now is not None:
+                        yield packed(*now, total)
+                    now, total = (part, task), array.astype(np.float64)
+                else:
+                    total += array
         if now is not None:
-            yield from flush()
-
-    return base.mapInArrow(run, "chunk long, prev long, code long, c long")
+            yield packed(*now, total)
 
+    salted = parts.withColumn("task", F.pmod("task", F.lit(salt)))
+    # dealt by number, as the arrays are large rows
+    return salted.repartition(SUM_TASKS * salt, "part", "task").sortWithinPartitions("part", "task").mapInArrow(run, SUMS)
 
-def pairs_of(words: list[bytes], codes: dict) -> np.ndarray:
-    """Codes of the tokens before and of the tokens, the end included; codes holds those already made."""
-    for w in (b"", *words):
-        if w not in codes:
-            codes[w] = code_of(w)
-    line = np.array([codes[b""], *map(codes.__getitem__, words), codes[b""]], np.int64)
-    return np.stack([line[:-1], line[1:]], 1)
 
+def packed(part: int, task: int, array: np.ndarray) -> pa.RecordBatch:
+    raw = array.astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([len(raw)], pa.int64()), pa.array([pa.compress(raw.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["part", "task", "n", "value"])
 
-def blocks(batches, name: str):
-    """Record batches sorted by the named column, as tables of whole groups of at least BLOCK_ROWS rows but for the last."""
-    held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size >= BLOCK_ROWS:
-            group = batch.column(name).to_numpy(zero_copy_only=False)
-            ends = np.flatnonzero(group[1:] != group[:-1])
-            whole = len(held) > 1 and held[-2].column(name)[-1].as_py() != group[0]
-            if len(ends) or whole:
-                at = int(ends[-1]) + 1 if len(ends) else 0
-                yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
-                held, size = [batch.slice(at)], batch.num_rows - at
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def distinct(block: pa.Table):
-    """Which distinct pair each row is, and prev, code, c, known, mask and path of the distinct pairs."""
-    prev, code = block.column("prev").to_numpy(), block.column("code").to_numpy()
-    start = np.concatenate([[True], (prev[1:] != prev[:-1]) | (code[1:] != code[:-1])])
-    at = np.flatnonzero(start)
-    c = np.add.reduceat(block.column("c").to_numpy(), at).astype(np.float64)
-    first = block.select(["known", "mask", "path"]).take(pa.array(at))
-    return np.cumsum(start) - 1, at, (prev[at], code[at], c, first.column("known").to_numpy(), first.column("mask").to_numpy(), first.column("path").to_pylist())
-
-
-def word_weights(pairs: DataFrame, top, fresh: tuple[int, int]) -> np.ndarray:
-    """The tasks' learnt weights, averaged by how much each has learnt from: a fixed number of values."""
-
-    def run(batches):
-        model, learnt = Words(), 0
-        for block in blocks(batches, "prev"):
-            _, _, got = distinct(block)
-            learnt += model.learn(got[2], decisions(*got, top.value, fresh, True))
-        if learnt:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(model.weights.size + 1)), pa.array(np.concatenate([model.weights.ravel() * learnt, [learnt]]))], names=["i", "v"])
-
-    flat = np.zeros(WORD_GATES * WORD_INPUTS + 1)
-    for i, v in pairs.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        flat[i] = v
-    return (flat[:-1] / flat[-1]).reshape(WORD_GATES, WORD_INPUTS) if flat[-1] else Words().weights
 
+def flat_state(mixer: Mixer, speller: Speller, learnt: float) -> np.ndarray:
+    """All that a task has learnt, as one array: counts and maps, weights times what they were learnt from, and that."""
+    parts = [*(t.view(np.float32) for t in mixer.tables), speller.table, mixer.map.ravel(), mixer.weights.ravel() * learnt, speller.weights.ravel() * learnt, [learnt]]
+    return np.concatenate([np.asarray(p, np.float32) for p in parts])
 
-def score_pairs(pairs: DataFrame, model, top, fresh: tuple[int, int]) -> DataFrame:
-    """chunk, key, known, s of every chunk's pairs."""
 
-    def run(batches):
-        words = Words(model.value)
-        for block in blocks(batches, "prev"):
-            which, at, got = distinct(block)
-            s = words.score(len(at), decisions(*got, top.value, fresh, False))[which] + block.column("s").to_numpy()
-            key = pair_key(got[0], got[1])[which].view(np.int64)
-            done = pa.Table.from_arrays([block.column("chunk"), pa.array(key), block.column("known"), pa.array(s)], names=["chunk", "key", "known", "s"])
-            yield from done.to_batches(max_chunksize=50_000)
+def from_state(tree: Tree, bits: int, state: np.ndarray | None) -> tuple[Mixer, Speller]:
+    mixer, speller = Mixer(tree, bits), Speller()
+    if state is None or not state[-1]:
+        return mixer, speller
+    sizes = [2 << bits, 2 << bits, speller.table.size, mixer.map.size, mixer.weights.size, speller.weights.size]
+    one, two, table, map_, w, v = np.split(state[:-1], np.cumsum(sizes)[:-1])
+    mixer.tables = [x.view(np.complex64) for x in (one, two)]
+    speller.table = table
+    mixer.map = map_.reshape(mixer.map.shape).astype(np.float64)
+    mixer.weights = (w / state[-1]).reshape(mixer.weights.shape).astype(np.float32)
+    speller.weights = (v / state[-1]).reshape(speller.weights.shape).astype(np.float32)
+    return mixer, speller
 
-    return pairs.mapInArrow(run, "chunk long, key long, known long, s double")
 
-
-def write_tables(rows: DataFrame, folder: str) -> None:
-    """One file a chunk: its pairs with the token's count and the score. rows: chunk, key, known, s."""
+def learnt_state(base: DataFrame, tasks: int, folder: str, chunks: int, tree, bits: int) -> np.ndarray | None:
+    """What all tasks have learnt from the training documents: an array of fixed size."""
 
     def run(batches):
-        now, held = None, []
+        from pyspark import TaskContext
 
-        def flush():
-            table = pa.Table.from_batches(held)
-            out = io.BytesIO()
-            with pa.ipc.new_file(out, table.schema) as f:
-                f.write_table(table)
-            files.put(folder, f"chunk-{now}.arrow", out.getvalue())
-
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                if b > a:
-                    if now is not None and chunk[a] != now:
-                        flush()
-                        held = []
-                    now = int(chunk[a])
-                    held.append(batch.slice(a, b - a).select(["key", "known", "s"]))
-        if held:
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], names=["chunk"])
+        mixer, speller, look, learnt = Mixer(tree.value, bits), Speller(), Lookup(folder), 0
+        for chunk, texts, held_out, _ in by_chunk(batches):
+            s = look.stream(chunk, [t for t, held in zip(texts, held_out, strict=True) if not held])
+            if not len(s.doc):
+                continue
+            leaf = s.leaves(tree.value, 2)  # without its own occurrence, a token that occurs once is unknown
+            for k in range(0, len(leaf), SLICE):
+                cut = slice(k, k + SLICE)
+                mixer.learn(leaf[cut], s.c1[cut], s.c2[cut])
+            first = look.first(s)
+            speller.run(s.data, s.start[first], s.size[first], True)
+            learnt += len(leaf)
+        if learnt:
+            state, task = flat_state(mixer, speller, learnt / 1e6), TaskContext.get().partitionId()
+            for k in range(0, len(state), PART):
+                yield packed(k // PART, task, state[k : k + PART])
 
-    mark = f"{folder}/done-{uuid.uuid4().hex[:6]}"
-    rows.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(run, "chunk long").write.parquet(mark)
+    parts = base.where("NOT held_out").select("chunk", "text", "held_out").coalesce(tasks).mapInArrow(run, SUMS)
+    once = summed_parts(parts, max(1, int(chunks**0.5)))
+    rows = sorted(summed_parts(once, 1).collect(), key=lambda r: r["part"])  # the tables' parts, a fixed number
+    if not rows:
+        return None
+    return np.concatenate([np.frombuffer(pa.decompress(r["value"], r["n"] * 4, codec="zstd", asbytes=True), np.float32) for r in rows])
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes."""
     spark = docs.sparkSession
     folder = work_dir(spark, "scoring")
-    held = F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    base = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), held.alias("held_out"), F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}").alias("chunk"))
-    base = settle(base, "scoring-texts")
-    vocabulary = settle(chunk_counts(base).groupBy("word").agg(F.sum("c").alias("c")), "scoring-vocabulary")
-    known = vocabulary.where("c > 0")
-    n, v, once = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
-    fresh = (n - once, once)
-    tasks = max(1, -(-v // TRAIN_TOKENS_PER_TASK))
-    # spelling serves tokens that are new: each known token counts once
-    types = known.select("word", F.lit(1).cast("long").alias("c"))
-    headed = lambda p: p.withColumn("head", F.substring("word", 1, HEAD)).repartition("head").sortWithinPartitions("head")
-    table = spark.sparkContext.broadcast(tables(types, tasks, slots_for(bits_for(v))))
-    learnt = spark.sparkContext.broadcast(weights(headed(known), table))
-
-    def spell(batches):
-        m = Model(table.value, *learnt.value)
-        for block in blocks(batches, "head"):
-            words, c, whole = by_spelling(block)
-            new, s = c == 0, np.zeros(len(c))
-            if new.any():
-                size = np.array([len(w) + 1 for w in words])
-                s[new] = m.score([w for w, x in zip(words, new, strict=True) if x], whole[:, :, np.repeat(new, size)])
-            done = pa.Table.from_arrays([pa.array([*map(code_of, words)], pa.int64()), pa.array(c), pa.array(s)], names=["code", "known", "s"])
-            yield from done.to_batches(max_chunksize=50_000)
-
-    spelled = settle(headed(vocabulary).mapInArrow(spell, "code long, known long, s double"), "scoring-codes")
-    cells = np.zeros(1 << TOP_BITS, np.int64)
-    for i, c in spelled.where("known > 0").groupBy(F.shiftrightunsigned("code", 64 - TOP_BITS).alias("i")).agg(F.sum("known")).collect():
-        cells[i] = c
-    top = spark.sparkContext.broadcast(np.concatenate([[0], np.cumsum(cells)]))
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf["code"].to_numpy().view(U)
-        pdf = pdf.iloc[np.argsort(code)]
-        mask, path = paths(np.sort(code), pdf["known"].to_numpy().astype(np.float64))
-        return pd.DataFrame({"code": pdf["code"].to_numpy(), "known": pdf["known"].to_numpy(), "s": 0.0, "mask": mask.view(np.int64), "path": path})
-
-    coded = spelled.where("known > 0").groupBy(F.shiftrightunsigned("code", 64 - GROUP_BITS)).applyInPandas(path, "code long, known long, s double, mask long, path binary")
-    coded = coded.unionByName(spelled.where("known = 0").select("*", F.lit(0).cast("long").alias("mask"), F.lit(b"").alias("path")))
-    coded = settle(coded, "scoring-paths")
-    pairs = settle(pair_counts(base), "scoring-pairs")
-    ready = lambda p: p.join(coded, "code").repartition("prev").sortWithinPartitions("prev", "code")
-    mix = spark.sparkContext.broadcast(word_weights(ready(pairs.where("c > 0")), top, fresh))
-    write_tables(score_pairs(ready(pairs), mix, top, fresh), folder)
+    base, size = chunked(docs, key, text)
+    words = chunk_counts(base)
+    same = Window.partitionBy("h")
+    counts = settle(words.select("chunk", "h", F.sum("c").over(same).alias("total"), (F.col("chunk") == F.coalesce(F.min(F.when(F.col("c") > 0, F.col("chunk"))).over(same), F.lit(-1))).alias("lead")), "scoring-counts")
+    chunks = write_counts(counts, folder)
+    known = counts.where("lead AND total > 0")
+    n, v, once, twice = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).first()
+    head = known.where("total > 2").orderBy(F.desc("total"), "h").limit(HEAD).select("h", "total").collect()
+    drop(counts)
+    inside = sum(r["total"] for r in head)
+    others, other_types = n - inside - once, v - len(head) - once
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    tree = Tree(np.array([r["h"] for r in head], np.int64).view(U), np.array([r["total"] for r in head], np.int64), others, once)
+    tail_mass = max(1e-9, (n - inside) - discount * (other_types + once))
+    held_tree, bits = spark.sparkContext.broadcast(tree), bits_for(n)
+    state = spark.sparkContext.broadcast(learnt_state(base, max(1, -(-size // TASK_BYTES)), folder, chunks, held_tree, bits))
     floor = float(np.log10(n + v + 1))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "bytes")], *[T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]])
 
-    def look_up(batches):
-        now, codes, key, c, s, lb = None, {}, None, None, None, None
-        for batch in batches:
-            for piece in steps(batch, "text"):
-                raw = piece.column("text").cast(pa.binary()).to_pylist()
-                out: list = [[] for _ in range(4)]
-                for chunk, words in zip(piece.column("chunk").to_pylist(), tokens_of(raw), strict=True):
-                    if chunk != now:
-                        got = pa.ipc.open_file(pa.BufferReader(files.read(folder, f"chunk-{chunk}.arrow"))).read_all()
-                        key, c, s = (got.column(x).to_numpy() for x in ("key", "known", "s"))
-                        lb, now, codes = np.log10(c + 1.0), chunk, {}
-                    pair = pairs_of(words, codes)
-                    at = np.searchsorted(key, pair_key(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])).view(np.int64))
-                    out[0].append(len(at))
-                    out[1].append(int((c[at] > 0).sum()))
-                    out[2].append(float(lb[at].sum()) - len(at) * floor)
-                    out[3].append(float(s[at].sum()))
-                size = pa.array([len(t or b"") for t in raw], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), size, pa.array(out[2]), pa.array(out[3])], names=schema.names)
-
-    done = base.select("id", "text", "held_out", "chunk").mapInArrow(look_up, schema)
+    def run(batches):
+        model, look = Model(*from_state(held_tree.value, bits, state.value), discount, tail_mass), Lookup(folder)
+        for chunk, texts, _, part in by_chunk(batches):
+            s = look.stream(chunk, texts)
+            per = lambda x, s=s, m=len(texts): np.bincount(s.doc, x, m)
+            tokens = np.bincount(s.doc, minlength=len(texts))
+            lb = np.log10(s.known + 1.0)[s.code]
+            columns = [pa.array(tokens), pa.array(per(s.count > 0).astype(np.int64)), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(per(lb) - tokens * floor), pa.array(per(model.score(s)))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *columns], names=schema.names)
+
+    done = base.select("id", "text", "held_out", "chunk").mapInArrow(run, schema)
     return done.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bytes")
 
 
@@ -713,3 +571,5 @@ def op9(spark, sf_dir: str) -> DataFrame:
     df = score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest(F.col("bytes"), F.lit(1))
     return df.select(*[c for c in df.columns if c != "bytes"], bits.alias("bits_per_byte"))
+
+

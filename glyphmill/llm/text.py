@@ -36,10 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def words(texts: list[bytes | None], solid: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased), and n+1 bounds of each text's words among them."""
+    return found_words(texts, solid)[:2]
+
+
+def found_words(texts: list[bytes | None], solid: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words(), the lower-cased bytes of all texts, and the words' starts and lengths in them."""
     raw = b"\n".join(t or b"" for t in texts)
     data = LOWER[np.frombuffer(raw, np.uint8)]
     ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)
-    found, at = [], []
+    found, at, sizes = [], [], []
     i = 0
     while i < len(data):
         j = min(len(data), i + PIECE)
@@ -58,7 +63,8 @@ def words(texts: list[bytes | None], solid: np.ndarray = ALNUM) -> tuple[np.ndar
                 h = np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)
             found.append(mix(h))
             at.append(start + i)
+            sizes.append(length)
         i = j
-    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    starts = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    hashes, starts = join(found, np.uint64), join(at, np.int64)
+    return hashes, np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64), data, starts, join(sizes, np.int64)
