@@ -15,7 +15,8 @@ All of it runs as built-in functions.
 Defined cases: null roles and texts are empty; records of an unknown layout give no turns, are found by
 unknown() and counted with their conversation; an empty list of turns is a known layout; a system field beside a record's
 turns is a turn before them; turns with equal numbers follow by place in their record, role and text; null turn numbers come first; repeated
-rows are turns of their own; an empty table gives no rows.
+rows are turns of their own; very long texts are values like others; canonical() replaces columns named layout or turns, and
+format_chats() returns none but its own; an empty table gives no rows.
 """
 
 from __future__ import annotations

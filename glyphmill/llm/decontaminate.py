@@ -5,12 +5,14 @@ benchmark's vocabulary; stretches of such words too short to hold any window are
 which loses no match of a window. A suffix array of the rest is built by prefix doubling; every
 test suffix is binary-searched in it, which gives the windows' occurrences and the longest
 verbatim match with its place. No shuffle: documents stay where they were read. The benchmark
-goes to the tasks in blocks of at most BLOCK_BYTES of text, a pass over the documents each.
+goes to the tasks in blocks of at most BLOCK_BYTES of text, a pass over the documents each; where there is more than one, what
+the passes found so far is written with the documents, so that driver and tasks hold one block at a time.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has
 no window; items with equal ids count once in the list of ids; null item ids hit, but are not
 listed; rows are judged one by one, so repeated rows give repeated results; an empty benchmark
-leaves all clean.
+leaves all clean; a very long text is a shard of its own; other columns are passed through, whatever they are called; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, free_name
+from .common import annotate, drop, free_name, settle
 from .text import ALNUM, words
 
 #: Most benchmark text in one broadcast.
@@ -188,17 +190,17 @@ def merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, window: int, limit: int) -> list[Tests]:
+def blocks(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
     """The benchmark, cut to blocks of at most `limit` bytes; rows are streamed, one partition at a time."""
-    found, rows, held = [], [], 0
+    rows, held = [], 0
     for row in benchmark.select(F.col(item), F.col(text)).toLocalIterator():
         size = len((row[1] or "").encode())
         if held and held + size > limit:
-            found.append(Tests(rows, window))
+            yield Tests(rows, window)
             rows, held = [], 0
         rows.append((row[0], row[1]))
         held += size
-    return [*found, Tests(rows, window)]
+    yield Tests(rows, window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, limit: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
@@ -206,7 +208,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     spark, name = docs.sparkSession, free_name("found", docs.columns)
     df, need = docs, list(dict.fromkeys([*keep, text]))
     parts = blocks(benchmark, item, item_text, window, limit)
-    for k, tests in enumerate(parts):
+    tests, k, older = next(parts), 0, None
+    while tests is not None:
+        after = next(parts, None)
         held = spark.sparkContext.broadcast(tests)
         before = name if k else None
 
@@ -220,17 +224,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
                         got["longest_words"][i], got["longest_at"][i] = old["longest_words"], old["longest_at"]
             return got
 
-        last = k == len(parts) - 1
-        wanted = [*(keep if last else need)]
-        if before:
-            # the earlier struct travels along and is replaced
-            df = annotate(df, text, fn, FOUND, [*wanted, before], name="found_new")
-            new = [c for c in df.columns if c not in (*wanted, before)][0]
-            df = df.select(*[F.col(f"`{c}`") for c in wanted], F.col(f"`{new}`").alias(name))
-        else:
-            df = annotate(df, text, fn, FOUND, wanted, name=name)
-            made = df.columns[-1]
-            df = df.withColumnRenamed(made, name) if made != name else df
+        wanted = [*(need if after else keep)]
+        # the earlier struct travels along and is replaced
+        df = annotate(df, text, fn, FOUND, [*wanted, *([before] if before else [])], name="found_new" if before else name)
+        df = df.select(*[F.col(f"`{c}`") for c in wanted], F.col(f"`{df.columns[-1]}`").alias(name))
+        if after:
+            df = settle(df, "decontaminate-blocks")
+            held.destroy()
+            drop(older)
+            older = df
+        tests, k = after, k + 1
     return df, name
 
 
@@ -258,7 +261,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def op1(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     df, found = contamination(docs, bench, keep=["doc_id"])
-    return df.select("doc_id", *[c.alias(k) for k, c in verdict(found).items()])
+    return df.select("doc_id", *[c.alias(k) for k, c in verdict(found).items() if k != "longest_words"])
+
+
+OP1_SQL = r"""
+WITH low AS (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+i AS (SELECT id, ws, least(13, len(ws)) AS n FROM w WHERE kind = 'item' AND len(ws) > 0),
+g AS (SELECT DISTINCT id AS item, n, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM i)),
+d AS (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM g) WHERE kind = 'doc' AND len(ws) >= n),
+h AS (SELECT d.id, d.n, d.k, g.item FROM d JOIN g ON g.n = d.n AND g.g = array_to_string(list_slice(d.ws, d.k, d.k + d.n - 1), ' ')),
+hits AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT id, unnest(range(k, k + n)) AS p FROM h) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM h) GROUP BY id)
+SELECT w.id AS doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM w LEFT JOIN hits ON hits.id = w.id LEFT JOIN items ON items.id = w.id WHERE kind = 'doc'
+"""
 
 
 def brute(texts: dict, items: dict, window: int = 13) -> dict:

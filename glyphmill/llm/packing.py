@@ -9,7 +9,7 @@ The plan is a short list of patterns with multiplicities. Pieces then find their
 rank among the pieces of their length, by arithmetic; ranks come from counts by task and length.
 
 Defined cases: a null or empty text is its end id alone; null ids are ids; repeated rows are pieces of
-their own; an empty table gives no rows.
+their own; a very long text is cut to pieces where it is; of other columns none is read; an empty table gives no rows.
 """
 
 from __future__ import annotations

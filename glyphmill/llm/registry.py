@@ -14,4 +14,4 @@ QUERIES = {
     "op9_score": scoring.op9,
     "op10_pack": packing.op10,
 }
-ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op6_lines": lines.OP6_SQL, "op8_chat": chat.OP8_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.OP1_SQL, "op4_warc": warc.OP4_SQL, "op6_lines": lines.OP6_SQL, "op8_chat": chat.OP8_SQL}

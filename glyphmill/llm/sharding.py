@@ -7,7 +7,8 @@ finer sample of their own. Exact sizes of the ranges and running sums inside the
 the whole order, and the shard is the place's share of the total. Only narrow rows are shuffled.
 
 Defined cases: a null text has no bytes and size 1; null keys are sorted first; equal rows are neighbours and, as
-they can't be told apart, a run of them is divided by the running sum like any other; an empty table gives no rows.
+they can't be told apart, a run of them is divided by the running sum like any other; a text is only measured and hashed, however long; columns of any name are passed
+through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ OVERFULL = 2.0
 
 
 def shard(df: DataFrame, *, key: str, size: str, group: str, shards: int = SHARDS, seed: int = 11) -> DataFrame:
-    """All columns of df, and shard and slot. size: a long column of at least 1; group: a long column that keeps like records together."""
+    """All columns of df, and shard and slot (under free names, if it has columns of these). size: a long column of at least 1; group: a long column that keeps like records together."""
     spark = df.sparkSession
     names = df.columns
-    h, k, r, s_col = (free_name(x, names) for x in ("__h", "__k", "__range", "__upto"))
+    h, k, r, s_col, at_, row, bytes_, rows_, first_ = (free_name(x, names) for x in ("__h", "__k", "__range", "__upto", "__at", "__row", "__bytes", "__rows", "__first"))
+    shard_, slot_ = (free_name(x, names) for x in ("shard", "slot"))
     keyed = df.withColumns({h: F.col(f"`{group}`"), k: F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))})
     total = keyed.agg(F.sum(f"`{size}`"), F.count(F.lit(1))).first()
     whole, rows = total[0] or 0, total[1]
     if not rows:
-        return df.select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return df.select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias(shard_), F.lit(0).cast("long").alias(slot_))
     ranges = max(shards, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def splitters(source: DataFrame, weight: int, parts: int, seed: int) -> list[tuple[int, int]]:
@@ -70,18 +72,18 @@ def shard(df: DataFrame, *, key: str, size: str, group: str, shards: int = SHARD
         bounds = sorted({*bounds, *splitters(held, weight, max(2, 2 * -(-weight * ranges // whole)), seed + 1)})
     placed = settle(ranged(keyed, bounds).repartition(F.col(r)), "sharding-ranges")
     inside = Window.partitionBy(r).orderBy(h, k, *[F.col(f"`{c}`") for c in names if c in (size,)])
-    running = placed.withColumn(s_col, F.sum(f"`{size}`").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__row", F.row_number().over(inside) - 1)
+    running = placed.withColumn(s_col, F.sum(f"`{size}`").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn(row, F.row_number().over(inside) - 1)
     before, at, n = {}, 0, 0
     for x in sorted(placed.groupBy(r).agg(F.sum(f"`{size}`"), F.count(F.lit(1))).collect()):  # a row a range
         before[x[0]] = (at, n)
         at, n = at + x[1], n + x[2]
-    base = spark.createDataFrame([(x, *v) for x, v in before.items()], f"{r} long, __bytes long, __rows long")
+    base = spark.createDataFrame([(x, *v) for x, v in before.items()], f"`{r}` long, `{bytes_}` long, `{rows_}` long")
     done = running.join(F.broadcast(base), r)
-    start = F.col("__bytes") + F.coalesce(F.col(s_col), F.lit(0))
-    done = done.select(*[F.col(f"`{c}`") for c in names], F.least(F.lit(shards - 1), F.floor((start * 2 + F.col(f"`{size}`")) * shards / (2 * whole))).cast("int").alias("shard"), (F.col("__rows") + F.col("__row")).alias("__at"))
+    start = F.col(bytes_) + F.coalesce(F.col(s_col), F.lit(0))
+    done = done.select(*[F.col(f"`{c}`") for c in names], F.least(F.lit(shards - 1), F.floor((start * 2 + F.col(f"`{size}`")) * shards / (2 * whole))).cast("int").alias(shard_), (F.col(rows_) + F.col(row)).alias(at_))
     done = settle(done, "sharding-places")
-    first = done.groupBy("shard").agg(F.min("__at").alias("__first"))
-    return done.join(F.broadcast(first), "shard").select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("__at") - F.col("__first")).cast("long").alias("slot"))
+    first = done.groupBy(shard_).agg(F.min(at_).alias(first_))  # a row a shard
+    return done.join(F.broadcast(first), shard_).select(*[F.col(f"`{c}`") for c in names], shard_, (F.col(at_) - F.col(first_)).cast("long").alias(slot_))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ so that equal input gives equal records.
 
 Defined cases: a null payload is empty; a null url is written as an empty target; null ids come last
 and are never the response of others with an id; rows with equal ids and payloads are all but one revisits;
-an empty table gives no files.
+a very long payload is a record and a step of its own; columns other than the three are not read, whatever they are
+called; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import settle, spread_join, steps, work_dir
 
 LEAST_REVISIT = 100
 ROLL_BYTES = 64 << 20
+#: Compressed bytes that are read at a time.
+PIECE = 1 << 16
 DATE = "2026-01-01T00:00:00Z"
 MANIFEST = "part int, part_file int, file string, records long, bytes long"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,18 +41,24 @@ def record_id(key, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {digest} {url}')}>"
 
 
-def record(key, url: str, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+def record(key, url: str, payload: bytes, digest: str, refers_to, refers_url: str, date: str) -> bytes:
     """One record, uncompressed. A revisit has the HTTP headers with the full payload's length, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key, url, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Page-ID: {'' if key is None else key}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-ID: {refers_to}"]
+        of = int(refers_to) if refers_to else None
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(of, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {refers_url}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def safe(url: str) -> str:
+    """A header's value is one line."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def member(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -61,9 +70,17 @@ class Broken(ValueError):
 
 def parse(data: bytes):
     """Headers and block of each record of an archive of gzip members; digests are checked."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw, data = z.decompress(data) + z.flush(), z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise Broken("the archive ends inside a record")
+            piece = view[at : at + PIECE]
+            parts.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -86,7 +103,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     narrow = spread_join(df, groups, "digest")
     # of fully equal rows one alone is the response: told apart by a number within the task and the task
     narrow = narrow.withColumn("refers", F.when(F.col("n").isNotNull() & ~(F.col("key").eqNullSafe(F.col("first_key")) & (F.col("url") == F.col("first_url"))), F.coalesce(F.col("first_key").cast("string"), F.lit(""))))
-    narrow = narrow.select(F.coalesce("key", F.lit((1 << 63) - 1)).alias("sort"), "key", "url", "payload", "digest", "refers")
+    narrow = narrow.select(F.coalesce("key", F.lit((1 << 63) - 1)).alias("sort"), "key", "url", "payload", "digest", "refers", "first_url")
     tidy = narrow.repartitionByRange("sort").sortWithinPartitions("sort", "url", "digest", F.col("refers").isNotNull())
 
     def run(batches):
@@ -103,11 +120,11 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
 
         for batch in batches:
             for piece in steps(batch, "payload"):
-                for k, u, p, d, refers in zip(*[piece.column(c).to_pylist() for c in ("key", "url", "payload", "digest", "refers")], strict=True):
+                for k, u, p, d, refers, of in zip(*[piece.column(c).to_pylist() for c in ("key", "url", "payload", "digest", "refers", "first_url")], strict=True):
                     if (k, u, d) == last and refers is None and len(p) >= LEAST_REVISIT:
-                        refers = "" if k is None else str(k)
+                        refers, of = "" if k is None else str(k), u
                     last = (k, u, d)
-                    data = member(record(k, u.replace("\r", "%0D").replace("\n", "%0A"), p, d, refers, date))
+                    data = member(record(k, safe(u), p, d, refers, safe(of or ""), date))
                     if sink and records and sink.size + len(data) > roll:
                         yield close()
                         sink, count = None, count + 1
@@ -143,7 +160,8 @@ def read(spark, folder: str, *, key: str = "page_id") -> DataFrame:
                     rows.append((number(h["X-Page-ID"]), size, digest, h["WARC-Type"], number(h.get("X-Refers-To-Page-ID", "")), h["WARC-Target-URI"], name))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()], strict=True)], names=names)
 
-    return named.repartition("file").mapInArrow(run, schema)
+    # a task a file, dealt by number: their names say nothing of their size
+    return named.repartition(max(1, named.count()), "file").mapInArrow(run, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

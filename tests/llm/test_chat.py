@@ -73,3 +73,12 @@ def test_more_fields_and_unknown_records(spark):
     done = {r.conv_id: r for r in C.format_chats(made).collect()}
     assert {k: r.unknown for k, r in done.items()} == {i: int(want is None) for i, want in enumerate(records.values())}
     assert done[5].formatted == done[6].formatted == "" and done[0].formatted.startswith("<|role|>system<|text|>s<|end|>")
+
+
+def test_columns_named_like_its_own_are_replaced(spark):
+    record = F.to_variant_object(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("text")))
+    df = spark.range(2).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("x").alias("layout"), F.lit(1).alias("turns"), F.lit(2).alias("conv"), record.alias("record"))
+    made = C.canonical(df)
+    assert sorted(made.columns) == sorted(df.columns)
+    assert [[tuple(t) for t in r.turns] for r in made.collect()] == [[("user", "hi")]] * 2
+    assert C.format_chats(made).count() == 2

@@ -28,8 +28,8 @@ def test_round_trip(spark, roll):
 
 
 def test_damage_and_gzip():
-    data = W.member(W.record(1, "http://a/", b"body" * 50, hashlib.sha256(b"body" * 50).hexdigest(), None, W.DATE))
-    assert data == W.member(W.record(1, "http://a/", b"body" * 50, hashlib.sha256(b"body" * 50).hexdigest(), None, W.DATE))
+    data = W.member(W.record(1, "http://a/", b"body" * 50, hashlib.sha256(b"body" * 50).hexdigest(), None, "", W.DATE))
+    assert data == W.member(W.record(1, "http://a/", b"body" * 50, hashlib.sha256(b"body" * 50).hexdigest(), None, "", W.DATE))
     raw = gzip.decompress(data)
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response")
     with pytest.raises(W.Broken):
@@ -40,3 +40,27 @@ def test_empty(spark):
     folder = work_dir(spark, "w")
     W.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert W.read(spark, folder).count() == 0
+
+
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "p" * 200), (2, "http://b/", "p" * 200)], "page_id long, url string, html string")
+    folder = work_dir(spark, "w")
+    W.write(pages, folder)
+    name = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()
+    found = [h for r in name for h, _ in W.parse(files.read(folder, r.file))]
+    first, again = sorted(found, key=lambda h: h["X-Page-ID"])
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "http://a/"
+
+
+def test_reading_is_dealt_to_many_tasks(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", str(i) * 300) for i in range(60)], "page_id long, url string, html string")
+    folder = work_dir(spark, "w")
+    W.write(pages, folder, roll=500)
+    assert W.read(spark, folder).select("file").distinct().count() > 10
+    assert W.read(spark, folder).rdd.getNumPartitions() > 10
+
+
+def test_truncated():
+    data = W.member(W.record(1, "http://a/", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None, "", W.DATE))
+    with pytest.raises(W.Broken):
+        list(W.parse(data + data[:40]))
