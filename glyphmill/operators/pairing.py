@@ -1,4 +1,4 @@
-"""Entity-resolution joins: left anti coverage, as-of, prefix, best unique match, smallest fit, nearest, overlap, upsert."""
+"""Entity-resolution joins: left anti coverage, as-of, best unique match, longest prefix, smallest fit, nearest, overlaps, base names, upsert."""
 
 from __future__ import annotations
 
@@ -43,32 +43,87 @@ def best_unique(df: DataFrame, keys: list[str], score: str, second: str, tie: li
     return ranked.where((F.col("__n") == 1) | ((F.col(score) >= least) & clear)).drop("__r", "__s", "__t", "__n")
 
 
-def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other: str, name: str, least: int) -> DataFrame:
-    """key, other, score: the rows of best_unique by similarity(stem, name) over all pairs, without the pairs; null names are no candidates.
+def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other: str, name: str, least: int, within: list[str] = ()) -> DataFrame:
+    """within, key, other, score: the rows of best_unique by similarity(stem, name) over all pairs of a group, without the pairs; null names are no candidates.
 
     A right row is found under each prefix and suffix of its name that do not overlap. A left row looks up its own, with
     prefixes up to the longest that the right side has; under the best key found lie just the rows with the best scores.
     """
+    within = list(within)
     upto = lambda n: F.sequence(F.lit(0), n)
     head = lambda c, i: c.substr(F.lit(1), i)
     tail = lambda c, j: c.substr(F.length(c) - j + 1, j)
     n, s = F.col(name), F.col(stem)
     right = right.where(n.isNotNull())
-    one = right.select(other, name, F.explode(upto(F.length(n))).alias("__i"))
-    two = one.select(other, name, "__i", F.explode(upto(F.length(n) - F.col("__i"))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
-    found = two.groupBy(head(n, F.col("__i")).alias("__h"), tail(n, F.col("__j")).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.min(other).alias(other))
-    heads = one.where("__i > 0").select(head(n, F.col("__i")).alias("__h")).distinct()
-    own = left.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: head(s, i))).alias("__h"))
-    most = own.join(heads, "__h").groupBy(key).agg(F.max(F.length("__h")).alias("__most"))
-    look = left.join(most, key, "left").where(s.isNotNull()).select(key, stem, F.explode(upto(F.coalesce("__most", F.lit(0)))).alias("__i"))
-    look = look.select(key, stem, "__i", F.explode(upto(F.length(s))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
-    look = look.select(key, head(s, F.col("__i")).alias("__h"), tail(s, F.col("__j")).alias("__t"), (F.col("__i") + F.col("__j")).alias("score"), "__i")
-    best = look.join(found, ["__h", "__t"]).groupBy(key).agg(F.max_by(F.struct("__k", other, "score"), F.struct("score", "__i")).alias("__b")).where("__b.__k = 1")
-    best = best.select(key, f"__b.{other}", "__b.score")
+    one = right.select(*within, other, name, F.explode(upto(F.length(n))).alias("__i"))
+    two = one.select(*within, other, name, "__i", F.explode(upto(F.length(n) - F.col("__i"))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
+    found = two.groupBy(*within, head(n, F.col("__i")).alias("__h"), tail(n, F.col("__j")).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.min(other).alias(other))
+    heads = one.where("__i > 0").select(*within, head(n, F.col("__i")).alias("__h")).distinct()
+    own = left.select(*within, key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: head(s, i))).alias("__h"))
+    most = own.join(heads, [*within, "__h"]).groupBy(*within, key).agg(F.max(F.length("__h")).alias("__most"))
+    look = left.join(most, [*within, key], "left").where(s.isNotNull()).select(*within, key, stem, F.explode(upto(F.coalesce("__most", F.lit(0)))).alias("__i"))
+    look = look.select(*within, key, stem, "__i", F.explode(upto(F.length(s))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
+    look = look.select(*within, key, head(s, F.col("__i")).alias("__h"), tail(s, F.col("__j")).alias("__t"), (F.col("__i") + F.col("__j")).alias("score"), "__i")
+    best = look.join(found, [*within, "__h", "__t"]).groupBy(*within, key).agg(F.max_by(F.struct("__k", other, "score"), F.struct("score", "__i")).alias("__b")).where("__b.__k = 1")
+    best = best.select(*within, key, f"__b.{other}", "__b.score")
     # an only candidate is taken whatever its score
-    only = right.agg(F.count(F.lit(1)).alias("__n"), F.min(other).alias(other), F.min(name).alias(name)).where("__n = 1")
-    alone = left.where(s.isNotNull()).crossJoin(F.broadcast(only)).select(key, other, similarity(s, n)[0].alias("score"))
-    return best.join(F.broadcast(only.select(F.lit(1))), F.lit(True), "left_anti").unionByName(alone)
+    only = right.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"), F.min(other).alias(other), F.min(name).alias(name)).where("__n = 1")
+    if not within:
+        alone = left.where(s.isNotNull()).crossJoin(F.broadcast(only)).select(key, other, similarity(s, n)[0].alias("score"))
+        return best.join(F.broadcast(only.select(F.lit(1))), F.lit(True), "left_anti").unionByName(alone)
+    alone = left.where(s.isNotNull()).select(*within, key, stem).join(only, within).select(*within, key, other, similarity(s, n)[0].alias("score"))
+    return best.join(only.select(*within), within, "left_anti").unionByName(alone)
+
+
+def longest_prefix(left: DataFrame, key: str, name: str, right: DataFrame, other: str, prefix: str, within: list[str], fits: Column | None = None, carry: list[str] = ()) -> DataFrame:
+    """within, key, other: for each left row the right row with the longest name that its own begins with and that fits; by keys, not pairs."""
+    own = left.select(*within, key, *carry, F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.col(name).substr(F.lit(1), i))).alias(prefix))
+    hit = own.join(right, [*within, prefix])
+    hit = hit if fits is None else hit.where(fits)
+    return hit.groupBy(*within, key).agg(F.max_by(other, F.struct(F.length(prefix), other)).alias(other))
+
+
+def smallest_fit(needs: DataFrame, key: str, need: str, slots: DataFrame, slot: str, room: str, within: list[str], rank: str, slot_rank: str) -> DataFrame:
+    """within, key, slot: the slot of least room that holds the need; of equal rooms the nearest rank, then the least rank.
+
+    One sort of both sides finds the least room that is enough; only slots of that very room are joined.
+    """
+    rooms = slots.select(*within, F.col(room).alias("__v")).distinct().withColumn("__ask", F.lit(1))
+    asked = needs.select(*within, F.col(need).alias("__v"), key, rank).withColumn("__ask", F.lit(0))
+    w = Window.partitionBy(*within).orderBy(F.asc("__v"), F.asc("__ask")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = asked.unionByName(rooms, allowMissingColumns=True).withColumn("__room", F.first(F.when(F.col("__ask") == 1, F.col("__v")), ignorenulls=True).over(w))
+    best = both.where("__ask = 0 AND __room IS NOT NULL").select(*within, key, rank, F.col("__room").alias(room))
+    hit = best.join(slots.select(*within, slot, room, slot_rank), [*within, room])
+    return hit.groupBy(*within, key).agg(F.min(F.struct(F.abs(F.col(rank) - F.col(slot_rank)).alias("d"), F.col(slot_rank).alias("r"), F.col(slot).alias(slot))).alias("__b")).select(*within, key, f"__b.{slot}")
+
+
+def nearest(left: DataFrame, key: str, at: str, right: DataFrame, other: str, place: str, within: list[str]) -> DataFrame:
+    """within, key, other, distance: the nearest right row of the group, the earlier one on ties, by one sort of both sides."""
+    marks = right.select(*within, F.col(place).alias("__v"), F.struct(F.col(place), F.col(other)).alias("__r"), F.lit(1).alias("__side"))
+    asked = left.select(*within, F.col(at).alias("__v"), F.col(key), F.lit(0).alias("__side"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy(*within).orderBy(F.asc("__v"), F.desc("__side"), F.desc(F.col(f"__r.{other}"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*within).orderBy(F.asc("__v"), F.asc("__side"), F.asc(F.col(f"__r.{other}"))).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumns({"__a": F.last("__r", ignorenulls=True).over(before), "__b": F.first("__r", ignorenulls=True).over(after)}).where("__side = 0")
+    gap = lambda c: F.abs(F.col("__v") - F.col(f"{c}.{place}"))
+    take = F.when(F.col("__b").isNull() | (gap("__a") <= gap("__b")), F.col("__a")).otherwise(F.col("__b"))
+    return both.withColumn("__t", take).where("__t IS NOT NULL").select(*within, key, F.col(f"__t.{other}").alias(other), gap("__t").alias("distance"))
+
+
+def rectangles_overlap(boxes: DataFrame, cell: list[str], ordinal: str = "ordinal", x: str = "x", y: str = "y", w: str = "w", h: str = "h") -> DataFrame:
+    """cell, overlap: whether two rectangles of a cell share a point. A cell has at most some hundred pieces (a hardware limit)."""
+    a = boxes.select(*cell, *[F.col(c).alias(f"a_{c}") for c in (ordinal, x, y, w, h)])
+    b = boxes.select(*cell, *[F.col(c).alias(f"b_{c}") for c in (ordinal, x, y, w, h)])
+    meet = lambda p, n: (F.col(f"a_{p}") < F.col(f"b_{p}") + F.col(f"b_{n}")) & (F.col(f"b_{p}") < F.col(f"a_{p}") + F.col(f"a_{n}"))
+    hit = a.join(b, cell).where((F.col(f"a_{ordinal}") < F.col(f"b_{ordinal}")) & meet(x, w) & meet(y, h)).select(*cell).distinct().withColumn("overlap", F.lit(True))
+    return boxes.select(*cell).distinct().join(hit, cell, "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
+
+
+def by_base_name(files: DataFrame, key: str, name: str, records: DataFrame, record: str, base: str, preferred: Column) -> DataFrame:
+    """Each file's record of the same base name, a preferred one first, then the least; files without one are kept."""
+    hit = files.join(records, files[name] == records[base], "left")
+    w = Window.partitionBy(key).orderBy(F.desc(F.coalesce(preferred, F.lit(False))), F.asc_nulls_last(record))
+    return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def overlaps(spans: DataFrame, keys: list[str], lo: str, hi: str, ident: str) -> DataFrame:
