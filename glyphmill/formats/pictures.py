@@ -454,7 +454,7 @@ def font(data: bytes) -> Picture:
 
 def codes_of(data: bytes, block) -> dict[int, int]:
     out, seen, at = {}, set(), block and block[0]
-    while at and at not in seen and at + 24 <= len(data) and data[at : at + 4] in (b"CMAP", b"PAMC"):
+    while at and at not in seen and at + 20 <= len(data) and data[at : at + 4] in (b"CMAP", b"PAMC"):
         seen.add(at)
         first, last, kind, after = fields("<HHII", data, at + 8)
         body = at + 24
