@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from glyphmill.codecs import bios
+from glyphmill.codecs import bios, studio
+from glyphmill.codecs.bios import CodecError
 from glyphmill.containers import archives as A
 from glyphmill.formats import nitro
 
@@ -15,7 +16,14 @@ from glyphmill.formats import nitro
 DEEPEST = 3
 #: A stream may not claim to be more than this many times its length (and 64 bytes in any case).
 RATIO = 64
-ITEMS = "path string, item string, loc array<string>, kind string, size bigint, content binary, error string"
+ITEMS = "path string, pos int, item string, loc array<string>, kind string, size bigint, content binary, error string"
+#: Items leave in batches of at most this many rows or bytes, one item at least.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+#: Codecs with a header of their own that are tried on files and members, and how many bytes may follow their streams.
+STUDIO = ("lze", "at6p", "bitlz", "lz40", "lz60", "aklz", "lz10_hdr", "lz10_solcomp")
+SPARE = {"lze": 5, "at6p": 1, "bitlz": 4, "lz40": 4, "lz60": 4, "aklz": 8, "lz10_hdr": 4, "lz10_solcomp": 4}
 
 
 def unwrap(data: bytes) -> tuple[bytes, str | None]:
@@ -34,6 +42,13 @@ def unwrap(data: bytes) -> tuple[bytes, str | None]:
         if len(out) != size or name == "lz10" and len(rest) > 16 and rest.strip(b"\0\xff"):
             return data, None
         return out, name
+    for name in STUDIO:
+        try:
+            out, used = studio.CODECS[name][0](data)
+        except (CodecError, IndexError):
+            continue
+        if 0 <= len(data) - used < SPARE[name] and 16 <= len(out) <= max(64, RATIO * len(data)):
+            return out, name
     return data, None
 
 
@@ -80,21 +95,34 @@ def walk(data: bytes, item: str, loc: tuple[str, ...] = (), depth: int = 0) -> I
 
 
 def explore(files: DataFrame) -> DataFrame:
-    """(path, item, loc, kind, size, content, error) for files of (path, content).
+    """(path, pos, item, loc, kind, size, content, error) for files of (path, content); pos numbers a file's items in their order.
 
     Null and empty contents give no rows. A file that breaks a parser gives one row with its error; others go on.
-    No shuffle: a file is explored where it is read, its items leave one by one.
+    No shuffle: a file is explored where it is read, its items leave in batches.
     """
+    names = [c.split()[0] for c in ITEMS.split(", ")]
 
-    def run(batches):
+    def items(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 if data is None or not len(data):
                     continue
+                pos = 0
                 try:
-                    for item, loc, kind, body in walk(bytes(data), path or ""):
-                        yield pd.DataFrame({"path": [path], "item": [item], "loc": [list(loc)], "kind": [kind], "size": [len(body)], "content": [body], "error": [None]})
+                    for pos, (item, loc, kind, body) in enumerate(walk(bytes(data), path or "")):
+                        yield path, pos, item, list(loc), kind, len(body), body, None
                 except Exception as e:  # one bad file must not end the scan; the row says which and why
-                    yield pd.DataFrame({"path": [path], "item": [None], "loc": [None], "kind": [None], "size": [len(data)], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    yield path, pos + 1, None, None, None, len(data), None, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        held, size = [], 0
+        for row in items(batches):
+            held.append(row)
+            size += len(row[6] or b"")
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pd.DataFrame(held, columns=names)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return files.select("path", "content").mapInPandas(run, ITEMS)

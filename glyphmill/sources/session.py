@@ -190,17 +190,28 @@ def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("path", F.coalesce("__new.data", "content").alias("content"), F.col("__new.error").alias("error"))
 
 
-def contents(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (path, loc, ...) with the payload at the end of each way, and why there is none."""
+def all_resolved(data: bytes, ways: list[Way]) -> list[tuple[bytes | None, str | None]]:
+    """The ends of many ways into one file, with what they share opened once; or why there is none."""
+    opened: dict[Way, bytes] = {(): data}
 
-    def one(data, way):
-        if data is None or way is None:
-            return None
+    def at(way: Way) -> bytes:
+        if way not in opened:
+            opened[way] = child(at(way[:-1]), way[-1])
+        return opened[way]
+
+    out: list = []
+    for way in ways:
         try:
-            return resolve(bytes(data), tuple(way)), None
-        except ValueError as e:
-            return None, str(e)
+            out.append((at(way), None))
+        except EditError as e:
+            out.append((None, str(e)))
+    return out
 
-    run = F.udf(one, "struct<data:binary,error:string>", useArrow=True)
-    both = wanted.join(files.select("path", "content"), "path").withColumn("__got", run("content", "loc"))
-    return both.select(*wanted.columns, F.col("__got.data").alias("payload"), F.col("__got.error").alias("error"))
+
+def contents(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (path, loc, ...) with the payload at the end of each way, and why there is none. A file's bytes go to Python once, with all its ways."""
+    run = F.udf(lambda data, ways: None if data is None else all_resolved(bytes(data), [tuple(w) for w in ways]), "array<struct<payload:binary,error:string>>", useArrow=True)
+    ways = wanted.select("path", "loc").distinct().groupBy("path").agg(F.collect_list("loc").alias("__ways"))
+    both = ways.join(files.select("path", "content"), "path").withColumn("__got", run("content", "__ways"))
+    each = both.select("path", F.explode(F.arrays_zip("__ways", "__got")).alias("__e")).select("path", F.col("__e.__ways").alias("loc"), F.col("__e.__got.payload").alias("payload"), F.col("__e.__got.error").alias("error"))
+    return wanted.join(each, ["path", "loc"]).select(*wanted.columns, "payload", "error")
