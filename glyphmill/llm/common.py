@@ -113,7 +113,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
     yield batch.slice(start, n - start)
 
 
-def annotate(df: DataFrame, text: str, fn: Callable, fields: T.StructType, keep: list[str], name: str = "found", drop: Callable | None = None) -> DataFrame:
+def annotate(df: DataFrame, text: str, fn: Callable, fields: T.StructType, keep: list[str], name: str = "found", drop: Callable | None = None, limit: int = STEP_BYTES) -> DataFrame:
     """One Arrow pass, no shuffle: `keep` columns and a struct `name` (renamed if taken) made by fn(texts as bytes or None, batch).
 
     fn returns a dict of lists or arrays, one for each field. drop(dict) may return a boolean
@@ -129,7 +129,7 @@ def annotate(df: DataFrame, text: str, fn: Callable, fields: T.StructType, keep:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, limit):
                 got = fn(part.column(text).cast(pa.binary()).to_pylist(), part)
                 columns, names = [part.column(c) for c in keep], list(keep)
                 if drop:

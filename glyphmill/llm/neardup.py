@@ -47,6 +47,8 @@ PAIR_ROWS, BLOCK_ROWS = 48, 256
 BLOCK_PAIRS = 8
 #: Distinct elements that are held at a time as a dense matrix.
 COLUMNS = 8192
+#: Text bytes that signatures are made of at a time: each word takes some hundred bytes meanwhile.
+STEP = 1 << 20
 #: Candidates up to this many are sent to all tasks as a list of 16-byte keys; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 U = np.uint64
@@ -275,7 +277,7 @@ def block_rest(members: DataFrame, bag: DataFrame) -> DataFrame:
 def bags_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """One multiset for each wanted content key, from a second pass over the texts."""
     key = free_name("bag", [])
-    every = annotate(docs.select(F.col(f"`{text}`").alias("text")), "text", lambda t, _: bags(t), BAG, [], name=key).select(f"{key}.ck", f"{key}.bag")
+    every = annotate(docs.select(F.col(f"`{text}`").alias("text")), "text", lambda t, _: bags(t), BAG, [], name=key, limit=STEP).select(f"{key}.ck", f"{key}.bag")
     small = wanted.count() <= BROADCAST_KEYS
     got = every.join(F.broadcast(wanted) if small else wanted, "ck", "left_semi")
     return settle(got.groupBy("ck").agg(F.first("bag").alias("bag")), "neardup-bags")
@@ -338,7 +340,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tupl
     name = "signed"
     # the md5 is taken JVM-side, next to the signatures, so that rows of equal ids can be told apart by their texts
     source = docs.select(F.col(f"`{key}`").alias("id"), digest(text).alias("th"), F.col(f"`{text}`").alias("text"))
-    signed = annotate(source, "text", lambda t, _: sign(t), SIGNED, ["id", "th"], name=name)
+    signed = annotate(source, "text", lambda t, _: sign(t), SIGNED, ["id", "th"], name=name, limit=STEP)
     signed = settle(signed.select("id", "th", f"{name}.ck", f"{name}.n", f"{name}.bands"), "neardup-signed")
     # equal keys have equal bands and lengths
     keys = signed.where("ck IS NOT NULL").groupBy("ck").agg(F.count(F.lit(1)).alias("n_same"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
