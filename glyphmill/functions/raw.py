@@ -31,10 +31,14 @@ def magic(content: Column) -> Column:
     return F.when(F.length(content) < 4, "tiny").when(printable, F.decode(raw, "ISO-8859-1")).otherwise(F.concat(F.lit("x"), F.lower(F.hex(raw))))
 
 
-@F.pandas_udf("array<int>")
-def shorts(content: pd.Series) -> pd.Series:
+def shorts(content: Column) -> Column:
     """All whole little-endian 16-bit words."""
-    return content.map(lambda d: None if d is None else np.frombuffer(bytes(d), "<u2", len(d) // 2).tolist())
+
+    @F.pandas_udf("array<int>")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else np.frombuffer(bytes(d), "<u2", len(d) // 2).tolist())
+
+    return run(content)
 
 
 def is_palette(content: Column) -> Column:
