@@ -77,10 +77,19 @@ def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other
 
 def longest_prefix(left: DataFrame, key: str, name: str, right: DataFrame, other: str, prefix: str, within: list[str], fits: Column | None = None, carry: list[str] = ()) -> DataFrame:
     """within, key, other: for each left row the right row with the longest name that its own begins with and that fits; by keys, not pairs."""
-    own = left.select(*within, key, *carry, F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.col(name).substr(F.lit(1), i))).alias(prefix))
-    hit = own.join(right, [*within, prefix])
+    # names are looked up once each (rows, where a condition asks for more), with prefixes as long as some name on the right. What is
+    # exploded is joined by sorting: the optimiser takes it to be as small as the table it was made of, and would broadcast it.
+    asked = [*within, name] if fits is None else list(dict.fromkeys([*within, key, name, *carry]))
+    sizes = right.select(F.length(prefix).alias("__n")).distinct().agg(F.collect_list("__n").alias("__sizes"))
+    names = left.select(*asked).distinct().crossJoin(F.broadcast(sizes))
+    own = names.select(*asked, F.explode(F.filter("__sizes", lambda n: n <= F.length(name))).alias("__n")).select(*asked, F.col(name).substr(F.lit(1), F.col("__n")).alias(prefix))
+    right = right if fits is not None else right.groupBy(*within, prefix).agg(F.max(other).alias(other))
+    hit = own.hint("merge").join(right.hint("merge"), [*within, prefix])
     hit = hit if fits is None else hit.where(fits)
-    return hit.groupBy(*within, key).agg(F.max_by(other, F.struct(F.length(prefix), other)).alias(other))
+    best = hit.groupBy(*asked).agg(F.max(F.struct(F.length(prefix).alias("n"), F.col(other).alias("o"))).alias("__b"))
+    if fits is None:
+        best = left.select(*within, key, F.col(name).alias("__name")).hint("merge").join(best.withColumnRenamed(name, "__name"), [*within, "__name"])
+    return best.groupBy(*within, key).agg(F.max("__b").alias("__b")).select(*within, key, F.col("__b.o").alias(other))
 
 
 def smallest_fit(needs: DataFrame, key: str, need: str, slots: DataFrame, slot: str, room: str, within: list[str], rank: str, slot_rank: str) -> DataFrame:

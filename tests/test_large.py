@@ -23,3 +23,21 @@ def test_images_are_made_in_such_batches(spark):
 
     df = round_trips.cartridge_regions(spark, "/root/testdata/sf0.001")
     assert "MapInArrow" in plan(df) and df.count() == 4
+
+
+def test_longest_prefix_explodes_no_side_of_a_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import pairing as P
+    from glyphmill.plans import resources
+
+    assert "BroadcastHashJoin" not in plan(resources.shared_prefix_tiles(spark, "/root/testdata/sf0.001"))
+    names, ends = ["abc", "abc", "ab", "b", "", None, "abcé1"], ["a", "ab", "abc", "ab", None, "abcé", "zz"]
+    left = spark.createDataFrame([(g, k, n, k % 3) for g in (1, 2) for k, n in enumerate(names)], "g int, k long, n string, room int")
+    right = spark.createDataFrame([(1, f"t{i}", p, i) for i, p in enumerate(ends)], "g int, o string, p string, need int")
+    got = P.longest_prefix(left, "k", "n", right, "o", "p", ["g"]).collect()
+    pairs = [(k, len(p), f"t{i}") for k, n in enumerate(names) for i, p in enumerate(ends) if n and p and n.startswith(p)]
+    assert sorted(got) == [(1, k, max((x[1:] for x in pairs if x[0] == k))[1]) for k in sorted({x[0] for x in pairs})]
+    got = P.longest_prefix(left, "k", "n", right, "o", "p", ["g"], F.col("need") <= F.col("room"), ["room"]).collect()
+    pairs = [x for x in pairs if int(x[2][1:]) <= x[0] % 3]
+    assert sorted(got) == [(1, k, max((x[1:] for x in pairs if x[0] == k))[1]) for k in sorted({x[0] for x in pairs})]
