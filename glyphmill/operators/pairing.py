@@ -48,6 +48,7 @@ def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other
 
     A right row is found under each prefix and suffix of its name that do not overlap. A left row looks up its own, with
     prefixes up to the longest that the right side has; under the best key found lie just the rows with the best scores.
+    All joins are by sorting: the optimiser takes exploded sides to be as small as their tables, and would broadcast them.
     """
     within = list(within)
     upto = lambda n: F.sequence(F.lit(0), n)
@@ -60,19 +61,19 @@ def similar_unique(left: DataFrame, key: str, stem: str, right: DataFrame, other
     found = two.groupBy(*within, head(n, F.col("__i")).alias("__h"), tail(n, F.col("__j")).alias("__t")).agg(F.count(F.lit(1)).alias("__k"), F.min(other).alias(other))
     heads = one.where("__i > 0").select(*within, head(n, F.col("__i")).alias("__h")).distinct()
     own = left.select(*within, key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: head(s, i))).alias("__h"))
-    most = own.join(heads, [*within, "__h"]).groupBy(*within, key).agg(F.max(F.length("__h")).alias("__most"))
-    look = left.join(most, [*within, key], "left").where(s.isNotNull()).select(*within, key, stem, F.explode(upto(F.coalesce("__most", F.lit(0)))).alias("__i"))
+    most = own.hint("merge").join(heads.hint("merge"), [*within, "__h"]).groupBy(*within, key).agg(F.max(F.length("__h")).alias("__most"))
+    look = left.hint("merge").join(most.hint("merge"), [*within, key], "left").where(s.isNotNull()).select(*within, key, stem, F.explode(upto(F.coalesce("__most", F.lit(0)))).alias("__i"))
     look = look.select(*within, key, stem, "__i", F.explode(upto(F.length(s))).alias("__j")).where(F.col("__i") + F.col("__j") >= least)
     look = look.select(*within, key, head(s, F.col("__i")).alias("__h"), tail(s, F.col("__j")).alias("__t"), (F.col("__i") + F.col("__j")).alias("score"), "__i")
-    best = look.join(found, [*within, "__h", "__t"]).groupBy(*within, key).agg(F.max_by(F.struct("__k", other, "score"), F.struct("score", "__i")).alias("__b")).where("__b.__k = 1")
+    best = look.hint("merge").join(found.hint("merge"), [*within, "__h", "__t"]).groupBy(*within, key).agg(F.max_by(F.struct("__k", other, "score"), F.struct("score", "__i")).alias("__b")).where("__b.__k = 1")
     best = best.select(*within, key, f"__b.{other}", "__b.score")
     # an only candidate is taken whatever its score
     only = right.groupBy(*within).agg(F.count(F.lit(1)).alias("__n"), F.min(other).alias(other), F.min(name).alias(name)).where("__n = 1")
     if not within:
         alone = left.where(s.isNotNull()).crossJoin(F.broadcast(only)).select(key, other, similarity(s, n)[0].alias("score"))
         return best.join(F.broadcast(only.select(F.lit(1))), F.lit(True), "left_anti").unionByName(alone)
-    alone = left.where(s.isNotNull()).select(*within, key, stem).join(only, within).select(*within, key, other, similarity(s, n)[0].alias("score"))
-    return best.join(only.select(*within), within, "left_anti").unionByName(alone)
+    alone = left.where(s.isNotNull()).select(*within, key, stem).hint("merge").join(only.hint("merge"), within).select(*within, key, other, similarity(s, n)[0].alias("score"))
+    return best.hint("merge").join(only.select(*within).hint("merge"), within, "left_anti").unionByName(alone)
 
 
 def longest_prefix(left: DataFrame, key: str, name: str, right: DataFrame, other: str, prefix: str, within: list[str], fits: Column | None = None, carry: list[str] = ()) -> DataFrame:

@@ -41,3 +41,16 @@ def test_longest_prefix_explodes_no_side_of_a_broadcast(spark):
     got = P.longest_prefix(left, "k", "n", right, "o", "p", ["g"], F.col("need") <= F.col("room"), ["room"]).collect()
     pairs = [x for x in pairs if int(x[2][1:]) <= x[0] % 3]
     assert sorted(got) == [(1, k, max((x[1:] for x in pairs if x[0] == k))[1]) for k in sorted({x[0] for x in pairs})]
+
+
+def test_similar_unique_explodes_no_side_of_a_broadcast(spark):
+    from glyphmill.operators import pairing as P
+    from glyphmill.plans import catalogue
+
+    assert "BroadcastHashJoin" not in plan(catalogue.similar_supplier(spark, "/root/testdata/sf0.001"))
+    one = spark.createDataFrame([(g, k, n) for g in (1, 2) for k, n in enumerate(["bg_s", "bg_t", "x"])], "g int, k long, n string")
+    other = one.where("g = 1 OR k = 0").select("g", "k", "n").toDF("g", "o", "m")
+    found = P.similar_unique(one, "k", "n", other, "o", "m", 2, ["g"])
+    # the second group has an only candidate, which is taken whatever its score
+    assert "BroadcastHashJoin" not in plan(found)
+    assert sorted(found.collect()) == [(1, 0, 0, 4), (1, 1, 1, 4), (2, 0, 0, 4), (2, 1, 0, 3), (2, 2, 0, 0)]
