@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, drop, free_name, settle
+from .common import SMALL_STEP, annotate, drop, free_name, settle
 from .text import ALNUM, words
 
 #: Most benchmark text in one broadcast.
@@ -226,7 +226,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
 
         wanted = [*(need if after else keep)]
         # the earlier struct travels along and is replaced
-        df = annotate(df, text, fn, FOUND, [*wanted, *([before] if before else [])], name="found_new" if before else name)
+        df = annotate(df, text, fn, FOUND, [*wanted, *([before] if before else [])], name="found_new" if before else name, limit=SMALL_STEP)
         df = df.select(*[F.col(f"`{c}`") for c in wanted], F.col(f"`{df.columns[-1]}`").alias(name))
         if after:
             df = settle(df, "decontaminate-blocks")

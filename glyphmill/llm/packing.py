@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import settle, steps, tokenizer_path
+from .common import SMALL_STEP, release, settle, steps, tokenizer_path
 from .tokens import encoder
 
 SIZE = 2048
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, SMALL_STEP):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(code.ids(part.column(text).cast(pa.binary()).to_pylist())):
                     ids = np.append(ids, tail)
@@ -125,6 +125,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
                         a = b
                 keys = part.column(key).take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, arrow.field(n + 1).type) for n, x in enumerate((piece, start, length, crc))]], schema=arrow)
+        release()
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 

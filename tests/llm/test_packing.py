@@ -70,3 +70,19 @@ def test_pack(spark):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_encoded_in_small_steps(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    seen = []
+    code = SimpleNamespace(ids=lambda texts: seen.append(sum(map(len, texts))) or [np.zeros(len(t), np.uint32) for t in texts])
+    monkeypatch.setattr(P, "encoder", lambda path: code)
+    one = SimpleNamespace(schema=docs.schema, select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(6)], "text": ["x" * 500_000] * 6})
+    made = [*P.pieces(one, "", end=0, size=2048, key="doc_id", text="text")([batch])]
+    assert max(seen) <= 1 << 20 and sum(seen) == 3_000_000
+    assert sum(sum(m.column("length").to_pylist()) for m in made) == 3_000_006
