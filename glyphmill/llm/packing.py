@@ -27,6 +27,8 @@ from .common import SMALL_STEP, release, settle, steps, tokenizer_path
 from .tokens import encoder
 
 SIZE = 2048
+#: On executors that earlier stages have filled: rows that go to a worker at a time, and chunks whose ids it keeps.
+BATCH_ROWS, SMALL_CACHE = 1000, 400_000
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -107,6 +109,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
 
     def run(batches):
         code = encoder(path)
+        code.most = SMALL_CACHE
         for batch in batches:
             for part in steps(batch, text, SMALL_STEP):
                 row, piece, start, length, crc = [], [], [], [], []
@@ -133,7 +136,7 @@ def pieces(docs: DataFrame, path: str, *, end: int, size: int, key: str, text: s
 def pack(docs: DataFrame, path: str | None = None, *, end: int = 0, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces with their sequence_id and offset."""
     spark = docs.sparkSession
-    made = settle(pieces(docs, path or tokenizer_path("byte_bpe_50k.json"), end=end, size=size, key=key, text=text).withColumn("__task", F.spark_partition_id()), "packing-pieces")
+    made = settle(pieces(docs, path or tokenizer_path("byte_bpe_50k.json"), end=end, size=size, key=key, text=text).withColumn("__task", F.spark_partition_id()), "packing-pieces", BATCH_ROWS)
     by_task = made.groupBy("__task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
     base = settle(by_task.select("__task", "length", "n", F.coalesce(before, F.lit(0)).alias("base")), "packing-counts")

@@ -6,8 +6,9 @@ library is asked once for each distinct chunk, and a text's ids are gathered fro
 letters alone are asked for many in one string, as their first or last ids tell where they end. All that is used
 for texts of plain characters only (tab, newline, carriage return, printable ASCII and Latin letters of
 U+00A1 to U+024F, none of the added tokens' strings); any other text, and any text for a tokenizer whose
-normaliser and pre-tokenizer are not exactly those of KNOWN, goes to the library as a whole. The cache is cleared
-when it holds CACHE entries. Two chunks of one worker's cache share a hash with a chance of 2e-8.
+normaliser and pre-tokenizer are not exactly those of KNOWN, goes to the library as a whole. The cache is an open table of
+hashes in numpy arrays, some 40 MB when full, and is cleared when it holds CACHE entries (or `most`, set by its user). Two chunks of one worker's cache share
+a hash with a chance of 2e-8.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 import pandas as pd
 
 CACHE = 800_000
+#: The least size of the cache's table.
+LEAST_BITS = 16
 #: Bytes that are hashed at a time; a longer chunk is hashed alone.
 PIECE = 1 << 20
 #: The normalisers and pre-tokenizers (as in the tokenizers' files) that the chunk rules hold for.
@@ -74,6 +77,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             x = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
             out[i:j] = x ^ x >> np.uint64(32)
             i = j
+    out[out == 0] = 1  # 0 is no key
     return out
 
 
@@ -124,7 +128,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.most = Tokenizer.from_file(path), CACHE
         with open(path) as f:
             made = json.load(f)
         self.added = [t["content"].encode() for t in made["added_tokens"]]
@@ -140,9 +144,50 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.held = 0
+        # open addressing: a key (0: none) and its slot, looked for from the hash's upper bits on
+        self.key, self.slot = np.zeros(1 << LEAST_BITS, np.uint64), np.zeros(1 << LEAST_BITS, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 12, np.int64)  # slot k's ids are flat[at[k]:at[k + 1]]
+        self.at = np.zeros(1 << 12, np.int32)  # slot k's ids are flat[at[k]:at[k + 1]]
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(65 - len(self.key).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' slots, -1 for those that have none."""
+        at, last = self.home(keys), len(self.key) - 1
+        found = self.key[at]
+        slot = self.slot[at]
+        open_ = np.flatnonzero(found != keys)
+        while len(open_):
+            none = found[open_] == 0
+            slot[open_[none]] = -1
+            open_ = open_[~none]
+            at[open_] = (at[open_] + 1) & last
+            found[open_] = self.key[at[open_]]
+            same = found[open_] == keys[open_]
+            slot[open_[same]] = self.slot[at[open_[same]]]
+            open_ = open_[~same]
+        return slot
+
+    def put(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Distinct new keys; the table stays half empty."""
+        if 2 * (self.held + len(keys)) > len(self.key):
+            old = np.flatnonzero(self.key)
+            keys, slots = np.concatenate([self.key[old], keys]), np.concatenate([self.slot[old], slots])
+            size = 1 << (2 * len(keys)).bit_length()
+            self.key, self.slot, self.held = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
+        at, last = self.home(keys), len(self.key) - 1
+        todo = np.arange(len(keys))
+        while len(todo):
+            spot = at[todo]
+            free = todo[self.key[spot] == 0]
+            self.key[at[free]] = keys[free]  # of several at one place the last stays
+            mine = self.key[spot] == keys[todo]
+            self.slot[spot[mine]] = slots[todo[mine]]
+            todo = todo[~mine]
+            at[todo] = (at[todo] + 1) & last
+        self.held += len(keys)
 
     def ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,7 +209,7 @@ class Encoder:
             return None
         return ids, np.diff(edge, prepend=-1) if gap else np.diff(np.append(edge, len(ids)))
 
-    def add(self, keys: list[int], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Gives new chunks their slots."""
         lead = start + int(self.kind == "spaced")
         other = np.concatenate([[0], np.cumsum(~LETTER[data])])
@@ -176,17 +221,17 @@ class Encoder:
         lists = self.ask([data[start[k] : end[k]].tobytes().decode() for k in rest]) if len(rest) else []
         ids = np.concatenate([got[0], np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))])
         size = np.concatenate([got[1], np.array([len(x) for x in lists], np.int64)])
-        n, m = len(self.slot), len(size)
+        n, m = self.held, len(size)
         if n + m + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), m + 1), np.int64)])
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at) // 2, m + 1), np.int32)])
         at = int(self.at[n])
         self.at[n + 1 : n + m + 1] = at + np.cumsum(size)
         if at + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(ids)), np.uint32)])
         self.flat[at : at + len(ids)] = ids
         slots = np.empty(m, np.int64)
         slots[np.concatenate([one, rest])] = np.arange(n, n + m)
-        self.slot.update(zip(keys, slots.tolist(), strict=True))
+        self.put(keys, slots)
         return slots
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
@@ -220,17 +265,16 @@ class Encoder:
     def gathered(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         start, end = spans(data, self.kind)
-        if len(self.slot) > CACHE:
+        if self.held > self.most:
             self.clear()
-        code, key = pd.factorize(hashes(data, start, end))
-        found = key.tolist()
-        slot = np.fromiter((self.slot.get(x, -1) for x in found), np.int64, len(found))
-        new = np.flatnonzero(slot < 0)
+        keys = hashes(data, start, end)
+        own = self.find(keys)
+        new = np.flatnonzero(own < 0)
         if len(new):
-            first = np.empty(len(found), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            slot[new] = self.add(key[new].tolist(), data, start[first[new]], end[first[new]])
-        own = slot[code]
+            code, key = pd.factorize(keys[new])
+            first = np.empty(len(key), np.int64)
+            first[code[::-1]] = new[::-1]
+            own[new] = self.add(key, data, start[first], end[first])[code]
         at = self.at[own]
         size = self.at[own + 1] - at
         upto = np.cumsum(size)

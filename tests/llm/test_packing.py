@@ -86,3 +86,47 @@ def test_texts_are_encoded_in_small_steps(spark, monkeypatch):
     made = [*P.pieces(one, "", end=0, size=2048, key="doc_id", text="text")([batch])]
     assert max(seen) <= 1 << 20 and sum(seen) == 3_000_000
     assert sum(sum(m.column("length").to_pylist()) for m in made) == 3_000_006
+
+
+def test_the_cache_is_small():
+    import tracemalloc
+
+    from glyphmill.llm.tokens import Encoder
+
+    rng = random.Random(8)
+    code = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(30_000)).encode() for _ in range(5)]
+    first = [x.tolist() for x in code.ids(texts)]
+    code.clear()
+    tracemalloc.start()
+    for t in texts:
+        code.ids([t])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80 * len({w for t in texts for w in t.split()})  # chunks of four ids or so; as a dict 110 more each
+    assert [x.tolist() for x in code.ids(texts)] == first
+
+
+def test_the_cache_is_cleared():
+    from glyphmill.llm.tokens import Encoder
+
+    code = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    code.most = 50
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)).encode() for i in range(20)]
+    want = [Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [code.ids([t])[0].tolist() for t in texts] == want and code.held < 50 + 200
+
+
+def test_rows_go_to_workers_in_small_batches(spark):
+    from glyphmill.llm.common import BATCH, settle
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(BATCH)
+    made = settle(spark.range(0, 5000, 1, 1).mapInArrow(run, "n long"), "t", P.BATCH_ROWS)
+    assert [r.n for r in made.collect()] == [1000] * 5 and spark.conf.get(BATCH) == before
