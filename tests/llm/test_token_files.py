@@ -85,3 +85,35 @@ def test_empty(spark):
 def test_ids_must_be_whole_numbers(spark):
     with pytest.raises(TypeError, match="whole number"):
         TF.write(spark.createDataFrame([("a", "x")], "doc_id string, text string"), work_dir(spark, "t"), tokenizer_path("word_bpe_49k.json"))
+
+
+def test_shares_are_found_again():
+    rng = np.random.default_rng(6)
+    for alphabet in (1, 5, 3000, 49408, coder.MOST_IDS):
+        zero = coder.Order0(40, alphabet)
+        for _ in range(3):
+            zero.add((rng.zipf(1.2, (64, 40)) % alphabet).astype(np.int32))
+            zero.renew()
+            ids = rng.integers(0, alphabet, (9, 40)).astype(np.int32)
+            start, width = zero.shares(ids, zero.slot(ids))
+            # in whole numbers, by definition
+            for step in range(9):
+                for k in range(0, 40, 7):
+                    i = int(ids[step, k])
+                    slot = int(np.searchsorted(zero.low, i, "right")) - 1
+                    a, b = (int(zero.sums[k, slot + j]) for j in range(2))
+                    low, n = int(zero.low[slot]), int(zero.width[slot])
+                    first, last = ((b - a) * (i - low + j) // n for j in range(2))
+                    assert (start[step, k], width[step, k]) == (a + first, last - first) and last > first
+            for v in (start, start + width - 1, start + width // 2):
+                for step in range(9):
+                    got = zero.find(np.arange(40), v[step])
+                    assert all((x == y).all() for x, y in zip(got, (ids[step], start[step], width[step]), strict=True))
+
+
+def test_the_bytes_stay_the_same():
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    blocks = [(rng.zipf(1.2, n) % 49408).astype(np.int64) for n in (8192, 3000, 8192, 50)]
+    assert hashlib.sha256(b"".join(coder.encode(blocks, 49408))).hexdigest() == "d628a6448117710e7354b069450d7fc0b53e1d2dc56528c57cc466dec26d249f"
