@@ -7,7 +7,7 @@ letters alone are asked for many in one string, as their first or last ids tell
 for texts of plain characters only (tab, newline, carriage return, printable ASCII and Latin letters of
 U+00A1 to U+024F, none of the added tokens' strings); any other text, and any text for a tokenizer whose
 normaliser and pre-tokenizer are not exactly those of KNOWN, goes to the library as a whole. The cache is an open table of
-hashes in numpy arrays, some 80 MB when full, and is cleared when it holds CACHE entries (or `most`, set by its user). Two chunks of one worker's cache share
+hashes in numpy arrays (12 bytes a place, half empty at least), and is cleared when it holds CACHE entries (or `most`, set by its user). Two chunks of one worker's cache share
 a hash with a chance of 7e-8.
 """
 

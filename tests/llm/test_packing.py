@@ -103,7 +103,7 @@ def test_the_cache_is_small():
         code.ids([t])
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
-    assert held < 80 * len({w for t in texts for w in t.split()})  # chunks of four ids or so; as a dict 110 more each
+    assert held < 80 * len({w for t in texts for w in t.split()})
     assert [x.tolist() for x in code.ids(texts)] == first
 
 
