@@ -34,6 +34,8 @@ from .tokens import encoder
 MAGIC = b"GMTOK2\n"
 #: Most ids in a file; a longer single document has a file of its own.
 FILE_IDS = 8_000_000
+#: Files that a reading task decodes at a time, for longer numpy vectors: some 250 MB.
+AT_ONCE = 2
 MANIFEST = "part int, part_file int, file string, docs long, tokens long"
 BLOCK_HEAD = struct.Struct("<IIIII")
 
@@ -42,11 +44,12 @@ class Corrupt(ValueError):
     """A file or block that doesn't hold what its checksums say."""
 
 
-def pack_file(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    ids = ids.astype("<u4")
+def pack_file(keys: list[int | None], counts: np.ndarray, ids: np.ndarray, alphabet: int = 1) -> bytes:
+    """alphabet: a number that ids are known to be below; files of one alphabet are decoded together."""
+    ids = ids.astype("<u4", copy=False)
     cut = [ids[k : k + coder.BLOCK] for k in range(0, len(ids), coder.BLOCK)]
     # blocks are coded together; each says how large its alphabet is
-    alphabet = int(ids.max()) + 1 if len(ids) else 1
+    alphabet = max(min(alphabet, coder.MOST_IDS), int(ids.max()) + 1 if len(ids) else 1)
     payloads = coder.encode(cut, alphabet)
     null = np.array([k is None for k in keys], bool)
     known = np.array([k or 0 for k in keys], "<i8")
@@ -59,34 +62,42 @@ def pack_file(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> by
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, which of them are null, token counts, and all ids."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise Corrupt("not a token file")
-    at = len(MAGIC)
-    size, crc = struct.unpack_from("<II", data, at)
-    head = data[at + 8 : at + 8 + size]
-    at += 8 + size
-    if zlib.crc32(head) != crc:
-        raise Corrupt("header")
-    head = zlib.decompress(head)
-    docs, n_blocks = struct.unpack_from("<QQ", head)
-    cut = np.cumsum([16, 8 * docs, docs, 8 * docs])
-    keys, null, counts = (np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", bool, "<u8"), strict=False))
-    found: dict[int, list] = {}
-    for k in range(n_blocks):
-        n, alphabet, length, crc, own = BLOCK_HEAD.unpack_from(data, at)
-        p = data[at + BLOCK_HEAD.size : at + BLOCK_HEAD.size + length]
-        at += BLOCK_HEAD.size + length
-        if zlib.crc32(p) != crc or len(p) != length:
-            raise Corrupt("block payload")
-        found.setdefault(alphabet, []).append((k, n, p, own))
-    blocks: list = [None] * n_blocks
+    return unpack_files([data])[0]
+
+
+def unpack_files(many: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What unpack_file gives of each file; blocks of one alphabet are decoded together, of whatever file."""
+    heads, starts, found = [], [0], {}
+    for data in many:
+        if data[: len(MAGIC)] != MAGIC:
+            raise Corrupt("not a token file")
+        at = len(MAGIC)
+        size, crc = struct.unpack_from("<II", data, at)
+        head = data[at + 8 : at + 8 + size]
+        at += 8 + size
+        if zlib.crc32(head) != crc:
+            raise Corrupt("header")
+        head = zlib.decompress(head)
+        docs, n_blocks = struct.unpack_from("<QQ", head)
+        cut = np.cumsum([16, 8 * docs, docs, 8 * docs])
+        heads.append([np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", bool, "<u8"), strict=False)])
+        for k in range(n_blocks):
+            n, alphabet, length, crc, own = BLOCK_HEAD.unpack_from(data, at)
+            p = data[at + BLOCK_HEAD.size : at + BLOCK_HEAD.size + length]
+            at += BLOCK_HEAD.size + length
+            if zlib.crc32(p) != crc or len(p) != length:
+                raise Corrupt("block payload")
+            found.setdefault(alphabet, []).append((starts[-1] + k, n, p, own))
+        starts.append(starts[-1] + n_blocks)
+    blocks: list = [None] * starts[-1]
     for alphabet, group in found.items():
         decoded = coder.decode([p for _, _, p, _ in group], [n for _, n, _, _ in group], alphabet)
         for (k, _, _, own), ids in zip(group, decoded, strict=True):
-            blocks[k] = ids.astype("<u4")
+            blocks[k] = ids.astype("<u4", copy=False)
             if zlib.crc32(blocks[k]) != own:
                 raise Corrupt("block ids")
-    return keys, null, counts.astype(np.int64), np.concatenate(blocks) if blocks else np.zeros(0, "<u4")
+    ids = [np.concatenate(blocks[a:b]) if b > a else np.zeros(0, "<u4") for a, b in zip(starts, starts[1:], strict=False)]
+    return [(keys, null, counts.astype(np.int64), x) for (keys, null, counts), x in zip(heads, ids, strict=True)]
 
 
 def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -112,7 +123,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, key: str = "
             name = f"tokens-{part:06d}-{count:04d}-{uuid.uuid4().hex[:8]}.gmtok"
             sizes = np.array([len(x) + 1 for x in held], np.int64)
             ids = np.concatenate([x for own in held for x in (own, tail)])
-            files.put(folder, name, pack_file(keys, sizes, ids))
+            files.put(folder, name, pack_file(keys, sizes, ids, code.library.get_vocab_size()))
             row = pd.DataFrame({"part": [part], "part_file": [count], "file": [name], "docs": [len(held)], "tokens": [len(ids)]})
             keys, held, total, count = [], [], 0, count + 1
             return pa.RecordBatch.from_pandas(row.astype({"part": "int32", "part_file": "int32"}), preserve_index=False)
@@ -139,19 +150,23 @@ def read(spark, folder: str, *, key: str = "doc_id") -> DataFrame:
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = named.groupBy("part").agg(F.sum("tokens").alias("own")).select("part", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("part_file").rowsBetween(Window.unboundedPreceding, -1)
-    todo = named.join(parts, "part").select("file", (F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
+    todo = named.join(parts, "part").select("part", "part_file", "file", (F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
     schema = T.StructType([T.StructField(key, T.LongType()), *[T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")], T.StructField("file", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            for name, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                keys, null, counts, ids = unpack_file(files.read(folder, name))
-                ends = np.cumsum(counts)
-                crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64()), pa.array([name] * len(keys), pa.string())], names=schema.names)
+            rows = list(zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True))
+            for some in (rows[k : k + AT_ONCE] for k in range(0, len(rows), AT_ONCE)):
+                got = unpack_files([files.read(folder, name) for name, _ in some])
+                for (name, first), (keys, null, counts, ids) in zip(some, got, strict=True):
+                    ends = np.cumsum(counts)
+                    crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64()), pa.array([name] * len(keys), pa.string())], names=schema.names)
 
-    # a task a file, dealt by number: their names are far too small for the runtime to judge the work by
-    return todo.repartition(max(1, named.count()), "file").mapInArrow(run, schema)
+    # a task for AT_ONCE files, or for one if that leaves cores idle, dealt by number: their names are far too small for the runtime to judge the work by
+    n = named.count()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // AT_ONCE))
+    return todo.repartitionByRange(tasks, "part", "part_file").select("file", "first").mapInArrow(run, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -160,4 +175,4 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return read(spark, folder)
 
 
-__all__ = ["Corrupt", "op2", "pack_file", "read", "remove", "unpack_file", "write"]
+__all__ = ["Corrupt", "op2", "pack_file", "read", "remove", "unpack_file", "unpack_files", "write"]

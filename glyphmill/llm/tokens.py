@@ -2,8 +2,8 @@
 
 The public tokenizers named in KNOWN never join characters across the chunk bounds used here, so a text's ids
 are its chunks' ids one after another. Chunks are found and hashed (64 bits) by numpy over many texts at once; the
-library is asked once for each distinct chunk, and a text's ids are gathered from what it answered. New chunks of ASCII
-letters alone are asked for many in one string, as their first or last ids tell where they end. All that is used
+library is asked once for each distinct chunk, and a text's ids are gathered from what it answered. New chunks of letters
+alone (ASCII and U+00C0 to U+00FF) are asked for many in one string, as their first or last ids tell where they end. All that is used
 for texts of plain characters only (tab, newline, carriage return, printable ASCII and Latin letters of
 U+00A1 to U+024F, none of the added tokens' strings); any other text, and any text for a tokenizer whose
 normaliser and pre-tokenizer are not exactly those of KNOWN, goes to the library as a whole. The cache is an open table of
@@ -45,6 +45,11 @@ PLAIN = WHITE.copy()
 PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA)]] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Marks that never join a letter before them; an apostrophe may.
+MARK = np.zeros(256, bool)
+MARK[[i for i in range(0x21, 0x7F) if not chr(i).isalnum() and i != 0x27]] = True
+#: Most marks at a word's end that are cut off; with more the word stays whole.
+MARKS = 8
 #: New chunks that are sent to the library as one string.
 TOGETHER = 512
 _VALUE = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,14 +86,32 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of ASCII letters or of letters from U+00C0 to U+00FF."""
+    out = LETTER[data]
+    lead = (data[:-1] == 0xC3).nonzero()[0]
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = True
+    return out
+
+
 def spans(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the chunks of texts that are each closed by a zero byte."""
     solid = ~WHITE[data] & (data != 0)
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    # a comma or full stop between a letter and a word's end is cut off there by both pre-tokenizers
-    last = data[end - 1]
-    mark = end[((last == 0x2C) | (last == 0x2E)) & (end - start > 1) & LETTER[data[end - 2]]]
+    # marks between a letter and a word's end are cut off there by both pre-tokenizers
+    letter, cut = letters(data), end.copy()
+    some = np.flatnonzero(MARK[data[end - 1]])
+    mark = np.zeros(len(end), bool)
+    for _ in range(MARKS):
+        cut[some] -= 1
+        some = some[cut[some] > start[some]]
+        last = cut[some] - 1
+        mark[some[letter[last]]] = True
+        some = some[MARK[data[last]]]
+    mark = np.flatnonzero(mark)
+    mark = end[mark], cut[mark]
     if kind == "words":
         return with_marks(start, end, mark)
     # a single space before a word belongs to it; of more white space before a word the rest is a chunk, and
@@ -108,14 +131,15 @@ def spans(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return with_marks(starts[order], ends[order], mark)
 
 
-def with_marks(start: np.ndarray, end: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks, with the last byte of those that end at `mark` as a chunk of its own."""
-    if not len(mark):
+def with_marks(start: np.ndarray, end: np.ndarray, mark: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks, with the marks of those that have some as chunks of their own. mark: where such chunks end, and where their marks begin."""
+    last, cut = mark
+    if not len(last):
         return start, end
-    k = np.searchsorted(end, mark)
+    k = np.searchsorted(end, last)
     end = end.copy()
-    end[k] -= 1
-    return np.insert(start, k + 1, mark - 1), np.insert(end, k + 1, mark)
+    end[k] = cut
+    return np.insert(start, k + 1, cut), np.insert(end, k + 1, last)
 
 
 def ragged(size: np.ndarray) -> np.ndarray:
@@ -212,8 +236,11 @@ class Encoder:
     def add(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Gives new chunks their slots."""
         lead = start + int(self.kind == "spaced")
-        other = np.concatenate([[0], np.cumsum(~LETTER[data])])
-        plain = (other[end] == other[np.minimum(lead, end)]) & (end > lead) & ((lead == start) | (data[start] == 0x20))
+        some = np.flatnonzero((end > lead) & ((lead == start) | (data[start] == 0x20)))
+        plain, size = np.zeros(len(start), bool), (end - lead)[some]
+        if len(some):
+            own = data[np.repeat(lead[some], size) + ragged(size)]
+            plain[some] = np.logical_and.reduceat(letters(own), np.cumsum(size) - size)
         one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         got = self.letters(data, start[one], end[one]) if len(one) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if got is None:  # a vocabulary whose marks don't tell

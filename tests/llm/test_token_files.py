@@ -117,3 +117,49 @@ def test_the_bytes_stay_the_same():
     rng = np.random.default_rng(9)
     blocks = [(rng.zipf(1.2, n) % 49408).astype(np.int64) for n in (8192, 3000, 8192, 50)]
     assert hashlib.sha256(b"".join(coder.encode(blocks, 49408))).hexdigest() == "d628a6448117710e7354b069450d7fc0b53e1d2dc56528c57cc466dec26d249f"
+
+
+def test_files_are_decoded_together(monkeypatch):
+    rng = np.random.default_rng(11)
+    all_ids = [rng.integers(0, most, n) for most, n in ((90, 20000), (3000, 9000), (49408, 8192), (2, 1))]
+    packed = [TF.pack_file([k], np.array([len(ids)]), ids, 49408) for k, ids in enumerate(all_ids)] + [TF.pack_file([], np.zeros(0, int), np.zeros(0, int), 49408)]
+    calls = []
+    decode = coder.decode
+    monkeypatch.setattr(coder, "decode", lambda p, n, alphabet: calls.append(alphabet) or decode(p, n, alphabet))
+    got = TF.unpack_files(packed)
+    assert calls == [49408] and len(got[-1][3]) == 0
+    for k, ids in enumerate(all_ids):
+        assert got[k][0].tolist() == [k] and (got[k][3] == ids).all()
+
+
+def test_contexts_before_each_step():
+    rng = np.random.default_rng(12)
+    for alphabet in (1, 3, 40, 5000):
+        s = (rng.zipf(1.3, (5, 700)) % alphabet + 1).astype(np.int32)
+        past = np.concatenate([np.zeros((5, 2), np.int32), s], axis=1)
+        rows = np.concatenate(coder.slots(past[:, 1:-1], past[:, :-2]))
+        got = coder.held_before(rows, s)
+        for r in range(10):
+            table = {}
+            for step in range(700):
+                p, c = table.get(int(rows[r, step]), (0, 0))
+                assert got[r, step] == p * coder.LEVELS + c
+                x = int(s[r % 5, step])
+                table[int(rows[r, step])] = (p, min(c + 1, coder.LEVELS - 1)) if x == p else (x, 1) if c <= 2 else (p, c >> 1)
+
+
+def test_chunks_are_cut_at_marks_and_asked_for_together():
+    rng = random.Random(13)
+    words = ["the", "L'été", "don't", "Ça", "naïve", "x×y", "é÷", "ÉÉ", "ab1", "it's", "!'s", "we'll,'ll", "İş"]
+    texts = [" ".join(rng.choice(words) + "".join(rng.choice("!?.,%&*-_'\"") for _ in range(rng.choice([0, 0, 1, 2, 9, 12]))) for _ in range(30)) for _ in range(500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokenizer_path(name)
+        code = Encoder(path)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in code.ids([t.encode() for t in texts])] == want
+        # letters and marks are chunks of their own: new words ask for no new chunk but for those of letters, in one string
+        asked = []
+        ask = code.ask
+        code.ask = lambda x, ask=ask, asked=asked: asked.extend(x) or ask(x)
+        code.ids([b"a zzzq!!! z\xc3\xa9zq%%% zz\xc3\xa9.."])
+        assert not any(c in x for x in asked[:1] for c in "!%.") and "zzzq" in asked[0] and "zézq" in asked[0]
