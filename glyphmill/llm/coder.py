@@ -29,7 +29,7 @@ PRIOR, FALL, RENEW = 256.0, 512.0, 1024
 STRIDE_BITS = 4
 STRIDE = 1 << STRIDE_BITS
 #: Blocks whose sums are made anew at a time, and steps whose shares are made at a time: both stay in the processor's cache.
-LANES, SPELL = 16, 128
+LANES, SPELL = 16, 256
 #: Blocks whose models the encoder makes at a time.
 TOGETHER = 64
 U = np.uint64
@@ -82,7 +82,7 @@ class Order0:
         self.sums[:, 0] = 0
         self.cum = self.sums.reshape(-1)
         self.fine = self.sums.reshape(-1, STRIDE)
-        self.some = np.ones(((min(n, LANES) + 1) // 2, self.slots, 2))
+        self.some = np.empty((min(n, LANES), self.slots))
         self.whole, self.begin = self.width.astype(np.float64), self.low.astype(np.float64)
         if across:
             self.row, self.edge = self.row[:, None], self.edge[:, None]
@@ -92,17 +92,11 @@ class Order0:
         """Every id keeps a share of one; the rest goes by counts."""
         for k in range(0, self.n, LANES):
             count, sums = self.count[k : k + LANES], self.sums[k : k + LANES, 1 : self.slots + 1]
-            # two blocks as one complex number: each sum waits for the one before it
-            half = (len(count) + 1) // 2
-            upto = self.some[:half]
-            for x, of in ((0, slice(half)), (1, slice(half, None))):
-                upto[: len(count[of]), :, x] = count[of]
-            pair = upto.view(np.complex128)[:, :, 0]
-            np.cumsum(pair, axis=1, out=pair)
+            upto = self.some[: len(count)]
+            upto[:] = count
+            np.cumsum(upto, axis=1, out=upto)
             upto *= self.spare / upto[:, -1:]
-            np.minimum(upto, self.spare, out=upto)
-            for x, of in ((0, slice(half)), (1, slice(half, None))):
-                sums[of] = upto[: len(count[of]), :, x]
+            sums[:] = upto  # cut: what a rounding put above spare goes
             sums += self.floor
         middle = self.sums[:, ::STRIDE].copy()  # not a view: rows are taken from it
         self.middle, self.top = middle.reshape(-1, STRIDE), middle[:, ::STRIDE].copy()
